@@ -23,3 +23,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048, 0)
+
+
+@query
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import report, secret_spans
+
+    return report(secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
