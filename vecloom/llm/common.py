@@ -71,9 +71,9 @@ def text_of(column: str | Column = "text") -> Column:
 
 
 def null_key(column: str | Column) -> Column:
-    """A string key that is never null and tells null from every string."""
+    """A string key that is never null, tells null from every string and sorts it last."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("0"))
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~"))
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], *, rows: int = 20_000, salts: int = 32, by: Column | None = None) -> DataFrame:

@@ -37,3 +37,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan
+
+    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
