@@ -51,3 +51,17 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfiles import sequence_output
+
+    return sequence_output(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, 2048)
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencounts import document_counts
+
+    return document_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 50256)
