@@ -65,3 +65,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencounts import document_counts
 
     return document_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 50256)
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"), 4, 85)
