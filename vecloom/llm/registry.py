@@ -72,3 +72,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_groups
 
     return jaccard_groups(table(spark, sf_dir, "documents"), 4, 85)
+
+
+@query
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
