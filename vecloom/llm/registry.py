@@ -80,3 +80,11 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS vector")
+    return nearest(rows, rows.where("id % 20 = 0"), 20)
