@@ -277,3 +277,18 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     out = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(salted, ["d1", "d2", "_salt"], "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, that of the least doc_id; of rows that share a doc_id one.
+
+    Documents without words and rows without a doc_id link with nothing and stay.
+    """
+    gone = jaccard_groups(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    twice = kept.join(again, "doc_id", "left_semi").withColumn("_number", number).where("_number = 1").select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
