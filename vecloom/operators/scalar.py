@@ -20,7 +20,7 @@ class Page:
 
 def projected(df: DataFrame, projection: Projection, struct: str | None = "metadata") -> DataFrame:
     """The id, and what else the projection asks for of what the collection has."""
-    if projection & ~Projection.ALL or projection < 0:
+    if int(projection) & ~int(Projection.ALL) or projection < 0:
         raise ValueError(f"unknown projection: {projection}")
     fixed = {"id", "vector", "text"}
     names = ["id"]
@@ -64,7 +64,7 @@ class ScalarQuery:
         return self
 
     def select(self, projection: Projection) -> ScalarQuery:
-        if projection & ~Projection.ALL or projection < 0:
+        if int(projection) & ~int(Projection.ALL) or projection < 0:
             raise ValueError(f"unknown projection: {projection}")
         self._projection = projection
         return self

@@ -322,12 +322,12 @@ def memories(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def memory_upsert(spark: SparkSession, d: str) -> DataFrame:
     df = memories(spark, d)
-    new = df.where("id % 3 = 0").selectExpr("id AS pos", "_key", "vector", "upper(text) AS text")
+    new = df.where("id % 3 = 0").selectExpr("id AS pos", "_key", "vector", "concat(text, '!') AS text")
     return records.upserted(df, new, "_key", 1_000_000).select("id", F.col("_key").alias("key"), F.length("text").alias("text_length"))
 
 
 SQL["memory_upsert"] = f"""WITH {DOCS} SELECT CASE WHEN id % 3 = 0 THEN id + 1000000 ELSE id END AS id, 'doc-' || id AS key,
-    length(CASE WHEN id % 3 = 0 THEN upper(text) ELSE text END)::INT AS text_length FROM docs_vec"""
+    length(CASE WHEN id % 3 = 0 THEN text || '!' ELSE text END)::INT AS text_length FROM docs_vec"""
 
 
 @_query

@@ -51,6 +51,7 @@ class ScalarRecord:
 
 
 def row_schema(mode: Mode, metadata: T.StructType) -> T.StructType:
+    """A collection's columns; without metadata fields the column has no place in files."""
     fields = [T.StructField("id", T.LongType(), False), T.StructField("metadata", metadata), T.StructField("text", T.StringType())]
     if mode is Mode.VECTOR:
         fields.insert(1, T.StructField("vector", T.ArrayType(T.FloatType(), True)))
@@ -115,7 +116,10 @@ class Collection:
         folders = [*([state["snapshot"]] if state["snapshot"] else []), *[x["path"] for x in state["log"] if x["op"] == "insert"]]
         if not folders:
             return spark.createDataFrame([], schema)
-        out = spark.read.schema(schema).parquet(*[self._db._at(x) for x in folders])
+        stored = T.StructType([f for f in schema.fields if f.name != "metadata" or len(f.dataType.fields)])
+        out = spark.read.schema(stored).parquet(*[self._db._at(x) for x in folders])
+        if len(stored) < len(schema):
+            out = out.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "metadata" else f.name for f in schema.fields])
         gone = [x["path"] for x in state["log"] if x["op"] == "delete"]
         if gone:
             out = records.deleted(out, spark.read.schema("id long").parquet(*[self._db._at(x) for x in gone]))
@@ -328,6 +332,8 @@ class Database:
 
     def _written(self, name: str, df: DataFrame) -> str:
         relative = f"{self._catalog['collections'][name]['folder']}/{uuid.uuid4().hex}"
+        if "metadata" in df.columns and not df.schema["metadata"].dataType.fields:
+            df = df.drop("metadata")
         df.write.parquet(self._at(relative))
         return relative
 
