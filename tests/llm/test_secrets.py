@@ -1,0 +1,67 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from vecloom.llm.secrets import RULES, redacted, report, secret_spans, trigram_query, trigrams
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+PARTS = ["password", "Passwd", "SECRET", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abcdef0123456789", "AKIA", "AKIAABCDEFGHIJ1234", "0123456789abcdef", "deadbeef", "é", "👩", "\n", "x.y-z/+=_", "AKIAAKIA", "K"]
+ADDED = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9, "xoxb-123456789012-abc", "AIza" + "Ab1_-" * 7, "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"]
+
+
+def spans(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def added(text):
+    return [(m.start(), n, m.end()) for n, rule in enumerate(RULES) if n > 2 for m in re.finditer(rule.pattern, text or "", re.ASCII)]
+
+
+def test_against_regexes(spark, docs):
+    r = random.Random(7)
+    texts = [None, "", "secret=token: \"abcdefghijklmnop\"", "token=token=abcdefghijklmn", "password = 'hunter2hunter2'", "PASSWORD=" + "a" * 11, "apı_key=abcdefghijkl", *ADDED, " ".join(ADDED)]
+    texts += ["".join(r.choices(PARTS, k=r.randrange(1, 14))) for _ in range(400)] + ["clean text " * 5000 + "token=abcdefghijkl", "0123456789abcdef " * 3000]
+    rows = [*enumerate(texts), (None, "api_key: abcdefghijkl"), (3, "secret=abcdefghijklmn"), (4, texts[4])]
+    found = secret_spans(docs(*rows).withColumnRenamed("n_chars", "rules"))
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans) for x in report(found).collect())
+    want = []
+    for d, t in rows:
+        base = spans(t)
+        name = lambda s: ",".join(f"{RULES[k].kind}:{a}:{b}" for a, k, b in s)
+        want.append((d if d is not None else -1, *(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(name(base).encode()).hexdigest(), name(sorted(base + added(t)))))
+    assert got == sorted(want)
+    assert sum(x[1] for x in got) > 20 and all(r.kind in " ".join(x[5] for x in got) for r in RULES)
+
+
+def test_redacted(spark, docs):
+    texts = ["a token=abcdef0123456789 b AKIAABCDEFGHIJ1234é 0123456789abcdef", "clean", None, "0123456789abcdef"]
+    out = {r.doc_id: r.text for r in redacted(secret_spans(docs(*enumerate(texts)))).collect()}
+    assert out == {0: "a [SECRET] b [SECRET]é [SECRET]", 1: "clean", 2: None, 3: "[SECRET]"}
+
+
+def test_empty(spark, docs):
+    assert report(secret_spans(docs((1, "x")).limit(0))).collect() == []
+
+
+def holds(q, text):
+    return q == ("all",) or (q[0] == "has" and q[1] in text) or (q[0] == "and" and all(holds(x, text) for x in q[1])) or (q[0] == "or" and any(holds(x, text) for x in q[1]))
+
+
+@pytest.mark.parametrize("pattern,matches", [
+    (RULES[0].pattern, ["password=a", "PASSWD : 'b", "api_key=x", "apikey=x"]), (RULES[1].pattern, ["AKIA" + "B" * 14]), ("(abc|xyz)+def?g", ["abcdeg", "abcxyzdefg"]), ("ab[cd]e{2,3}f", ["abceef", "abdeeef"]),
+    ("x*abc(?:d|e)y", ["abcdy", "xxabcey"]), ("a.b", ["axb"]), ("(?i)HeLLo world", ["hello WORLD"]),
+])
+def test_queries_hold_for_matches(pattern, matches):
+    q = trigram_query(pattern)
+    for m in matches:
+        assert re.search(pattern, m) and holds(q, m.lower())
+
+
+def test_queries():
+    assert trigram_query(RULES[2].pattern) == ("all",) and trigram_query(RULES[1].pattern) == ("and", (("has", "aki"), ("has", "kia")))
+    assert {"pas", "swd", "tok", "i_k", "pik"} <= trigrams(trigram_query(RULES[0].pattern))

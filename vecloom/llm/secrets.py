@@ -237,7 +237,8 @@ def verified(docs: DataFrame, cands: DataFrame, rules: tuple[Rule, ...], scan: s
             F.arrays_zip(F.col(f"_l{n}").alias("l"), (F.col(f"_v{n}") if rule.group else F.col(f"_l{n}")).cast("array<bigint>").alias("v")),
             lambda s, x: F.struct(s.alias("start"), F.lit(n).alias("rule"), (s + x["l"]).alias("end"), x["v"].alias("v")),
         )
-        kept = F.transform(F.filter(kept, lambda x, least=rule.least: x["v"] >= least), lambda x: F.struct(x["start"], x["rule"], x["end"]))
+        least = F.lit(rule.least)
+        kept = F.transform(F.filter(kept, lambda x: x["v"] >= least), lambda x: F.struct(x["start"], x["rule"], x["end"]))
         spans.append(F.when(F.size(f"_m{n}") > 0, kept).otherwise(F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")))
     return out.withColumn("spans", F.array_sort(F.concat(*spans))).select(*docs.columns, "spans")
 
