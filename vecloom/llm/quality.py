@@ -104,11 +104,13 @@ class Model:
         n, s = len(at) - 1, self.stats(raw)
         text = np.repeat(np.arange(n), np.diff(at))
         ws, vs = self.w[BUCKETS:], self.v[BUCKETS:]
-        linear = self.bias + s @ ws + np.bincount(text, self.w[bucket] * value, n)
+        # Sums row by row, not by matrix product: a score must not depend on the batch that a row came in.
+        along = lambda weights: (s * weights).sum(axis=1)
+        linear = self.bias + along(ws) + np.bincount(text, self.w[bucket] * value, n)
         pairs = np.zeros(n)
         for f in range(self.v.shape[1]):
             x = self.v[bucket, f] * value
-            pairs += (np.bincount(text, x, n) + s @ vs[:, f]) ** 2 - np.bincount(text, x * x, n) - (s * s) @ (vs[:, f] ** 2)
+            pairs += (np.bincount(text, x, n) + along(vs[:, f])) ** 2 - np.bincount(text, x * x, n) - along(s * vs[:, f] ** 2)
         return 1 / (1 + np.exp(-np.clip(linear + pairs / 2, -30, 30)))
 
 
