@@ -14,7 +14,8 @@ prefix asks for correspondingly more matches.  The join uses this twice.
 2. Joining, over the rest: shingles ordered from rare to frequent, so prefixes
    hold rare ones.  Each set picks its own k, by the estimated cost of the
    candidates that its prefix would meet (postings read, and sets to verify);
-   a pair is verified if it shares min(k of either) prefix shingles.
+   a pair is verified if it shares min(k of either) prefix shingles, or more
+   where its sizes ask for more.
 
 Equal sets are one class from the start (one row each).  Groups of near copies
 are not expanded into pairs either: each set is first verified against the one
@@ -194,7 +195,13 @@ def sql_overlap(size: Column, percent: int) -> Column:
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """token, cid, n and k: the prefix of every set that may link, with the k that it picks."""
+    """The prefix of every set that may link: token, cid, n, the k that it picks, reach and hub.
+
+    reach is the largest size of a partner: with u shingles that no other set
+    has, at most n - u are shared, and n - u >= t / (1 + t) (n + size) bounds
+    the size.  hub is the mean frequency of a set's shingles: of near copies
+    of one text, those with the fewest changes have the highest.
+    """
     rows = sets.select("cid", "n", F.explode("tokens").alias("token"))
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     own = rows.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
@@ -205,12 +212,27 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
     # Postings that a prefix of k reads, and sets that share k of it (at most postings / k), each of which costs a merge.
     cost = [F.when(F.col("_least") >= k, F.struct((read(k) + (read(k) / k) * F.col("n")).alias("cost"), F.lit(k).alias("k"))) for k in CHOICES]
     own = own.withColumn("k", F.least(*cost)["k"])
-    return own.select("cid", "n", "k", F.explode(F.slice("shared", F.lit(1), F.col("_spare") + F.col("k"))["token"]).alias("token"))
+    own = own.withColumn("reach", F.expr(f"size(shared) * {100 + percent} div {percent} - n"))
+    own = own.withColumn("hub", F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["df"]) / F.col("n"))
+    return own.select("cid", "n", "k", "reach", "hub", F.explode(F.slice("shared", F.lit(1), F.col("_spare") + F.col("k"))["token"]).alias("token"))
 
 
 def near(a: str, b: str, percent: int) -> Column:
-    """Sizes that may link."""
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+    """Whether two sets may link as far as their sizes tell."""
+    x, y = f"{a}.n", f"{b}.n"
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.col(x) <= F.col(f"{b}.reach")) & (F.col(y) <= F.col(f"{a}.reach"))
+
+
+def enough(shared: Column, percent: int) -> Column:
+    """Whether a pair (a, b) may link that shares so many prefix shingles.
+
+    Of two prefixes, the one that ends first in the order lacks in the other
+    set what it lacks in the other prefix.  Beyond its prefix it has
+    ceil(t n) - k shareable shingles, so no more are shared than those and the
+    ones in the prefixes; a link takes t / (1 + t) of both sizes.
+    """
+    beyond = lambda x: F.expr(f"({x}.n * {percent} + 99) div 100 - {x}.k")
+    return shared + F.greatest(beyond("a"), beyond("b")) >= F.expr(f"({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,25 +248,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_components(sets: DataFrame, percent: int) -> DataFrame:
     """node and component of all sets (cid, n, tokens) that link to one of a lower cid, directly or not."""
     posted = staged(postings(sets, percent), "postings")
-    # The least set of each token's postings; a set is verified against the one that most of its tokens name.
-    least = F.min(F.struct("cid", "n", "k")).over(Window.partitionBy("token"))
-    named = posted.withColumn("_c", least).where("_c.cid <> cid").groupBy(F.col("cid").alias("a"), F.col("_c.cid").alias("b")).agg(
-        F.count("*").alias("m"), F.first(F.least("k", "_c.k")).alias("k"), F.first("n").alias("na"), F.first("_c.n").alias("nb"))
-    named = named.where((F.col("m") >= F.col("k")) & near("na", "nb", percent))
-    best = named.groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
-    first = staged(verified(best, sets, percent), "links")
-    stars = components(first)
+    # Each token names the best hub of its postings; a set is verified against the one that most of its tokens name.
+    own = F.struct("n", "reach", "k")
+    hub = F.max(F.struct("hub", (-F.col("cid")).alias("minus"), "n", "reach", "k")).over(Window.partitionBy("token"))
+    named = posted.select("cid", own.alias("a"), hub.alias("b")).withColumn("_to", -F.col("b.minus")).where((F.col("_to") != F.col("cid")) & near("a", "b", percent))
+    named = named.groupBy("cid", "_to").agg(F.count("*").alias("m"), F.first(F.least("a.k", "b.k")).alias("k")).where("m >= k")
+    best = named.groupBy("cid").agg(F.max(F.struct("m", (-F.col("_to")).alias("minus"))).alias("x")).select(F.col("cid").alias("a"), (-F.col("x.minus")).alias("b"))
+    stars = components(verified(best, sets, percent))
     # What is left: sets of different components that share enough.
-    rows = posted.join(stars, posted["cid"] == stars["node"], "left").select("token", "cid", "n", "k", F.coalesce("component", "cid").alias("comp"))
+    rows = posted.join(stars, posted["cid"] == stars["node"], "left").select("token", "cid", "n", "k", "reach", F.coalesce("component", "cid").alias("comp"))
     rows = rows.withColumn("_in", F.count("*").over(Window.partitionBy("token", "comp")))
-    rows = rows.withColumn("_g", F.max(F.struct("_in", "comp")).over(Window.partitionBy("token"))["comp"]).withColumn("_o", F.min("comp").over(Window.partitionBy("token")))
-    rows = rows.withColumn("_p", F.max("comp").over(Window.partitionBy("token"))).where("_o <> _p")
-    rows = staged(rows.select("token", "cid", "n", "k", "comp", (F.col("comp") == F.col("_g")).alias("largest")), "crossing")
-    # Each token's largest component meets the others; those meet each other.
+    every = Window.partitionBy("token")
+    rows = rows.withColumn("_largest", F.max(F.struct("_in", "comp")).over(every)["comp"]).withColumn("_low", F.min("comp").over(every)).withColumn("_high", F.max("comp").over(every))
+    rows = staged(rows.where("_low <> _high").select("token", "cid", "n", "k", "reach", "comp", (F.col("comp") == F.col("_largest")).alias("largest")), "crossing")
+    rows = rows.join(rows.groupBy("cid").agg(F.collect_set("token").alias("prefix")), "cid")
+    # A token's largest component meets the others; those meet each other.  A pair
+    # comes out once, at the least token that its prefixes share, if they share enough.
     a, b = rows.where("NOT largest").alias("a"), rows.alias("b")
-    apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("b.largest") | (F.col("a.cid") < F.col("b.cid"))) & near("a.n", "b.n", percent)
-    met = a.join(b, apart).groupBy(F.least("a.cid", "b.cid").alias("b"), F.greatest("a.cid", "b.cid").alias("a")).agg(F.count("*").alias("m"), F.first(F.least("a.k", "b.k")).alias("k"))
-    second = verified(met.where("m >= k").select("a", "b"), sets, percent)
+    shared = F.array_intersect("a.prefix", "b.prefix")
+    apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("b.largest") | (F.col("a.cid") < F.col("b.cid"))) & near("a", "b", percent)
+    met = a.join(b, apart & enough(F.size(shared), percent) & (F.array_min(shared) == F.col("a.token")))
+    second = verified(met.select(F.greatest("a.cid", "b.cid").alias("a"), F.least("a.cid", "b.cid").alias("b")).distinct(), sets, percent)
     return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
 
