@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import join_small
 
-#: Equivalent spellings, applied in order to lower-cased text whose punctuation is already folded.
+#: Equivalent spellings, applied in order to lower-cased text whose words single spaces part.
 SPELLINGS = (
-    (r"\blicence", "license"), (r"\blicences", "licenses"), (r"\bsublicence", "sublicense"), (r"\bmerchantibility\b", "merchantability"),
-    (r"\bnon commercial", "noncommercial"), (r"\bnoninfringement\b", "non infringement"), (r"\bauthorisation", "authorization"), (r"\bhttps\b", "http"),
-    (r"\bcopyright holders?\b", "copyright owner"), (r"\bsub license", "sublicense"), (r"\bper cent\b", "percent"), (r"\bversion ([0-9])", "v$1"), (r"\b(v[0-9]+) 0\b", "$1"),
+    ("(^| )licence", "$1license"), ("(^| )sublicence", "$1sublicense"), ("(^| )sub license", "$1sublicense"), ("(^| )merchantibility", "$1merchantability"), ("(^| )non commercial", "$1noncommercial"),
+    ("(^| )noninfringement", "$1non infringement"), ("(^| )authorisation", "$1authorization"), ("(^| )https ", "$1http "), ("(^| )copyright holder", "$1copyright owner"),
+    ("(^| )per cent ", "$1percent "), ("(^| )version ([0-9])", "$1v$2"), ("(^| )(v[0-9]+) 0( |$)", "$1$2$3"),
 )
 #: A line that only says who holds the copyright, or that all rights are reserved.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b(?=[^\n]*(?:\(c\)|©|[0-9]{4}))|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n][^\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
 MARKS = r"[^\p{L}\p{N}]+"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
