@@ -172,7 +172,8 @@ def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
     held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]))
     return (
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select("doc_id", F.explode(held).alias("trigram"))
+        .select("doc_id", held.alias("held"))  # a projection lowers a text once; a generator would for each trigram
+        .select("doc_id", F.explode("held").alias("trigram"))
         .groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(segments)).alias("segment"), "trigram")
         .agg(F.collect_list("doc_id").alias("ids"))
     )
