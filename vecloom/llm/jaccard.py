@@ -9,8 +9,8 @@ prefix asks for correspondingly more matches.  The join uses this twice.
 1. Screening, over the whole corpus: prefixes in hash order with k a tenth of
    the set.  Prefixes are dealt to buckets in packed blocks (no row a shingle);
    a bucket finds which shingles occur in two texts or more and sends counts
-   back.  A set with fewer than k such shingles in its prefix cannot link to
-   anything and is done.
+   back.  A set with fewer such shingles in its prefix than the k of its
+   smallest possible partner cannot link to anything and is done.
 2. Joining, over the rest: shingles ordered from rare to frequent, so prefixes
    hold rare ones.  Each set picks its own k, by the estimated cost of the
    candidates that its prefix would meet (postings read, and sets to verify);
@@ -91,9 +91,9 @@ def least_overlap(size, percent: int):
     return -(-size * percent // 100)
 
 
-def screened_k(size, percent: int):
-    """Matches that the screening asks of a set: a tenth of it, at most what the set has, 1 at least."""
-    return np.maximum(1, size // 10)
+def screened_k(size: int) -> int:
+    """The k of a set's prefix in the screening: a tenth of the set, 1 at least."""
+    return max(1, size // 10)
 
 
 PROFILE = "kind int, bucket int, chunk long, ordinal int, doc_id long, n long, d1 long, d2 long, fps binary, ordinals binary"
@@ -126,7 +126,7 @@ def profile(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 rows.append((0, None, chunk, ordinal, doc, b - a, d1, d2, None, None))
                 if b > a and (d1, d2) not in seen:  # a task sends each set once
                     seen.add((d1, d2))
-                    prefix = own[: len(own) - least_overlap(len(own), percent) + int(screened_k(len(own), percent))]
+                    prefix = own[: len(own) - least_overlap(len(own), percent) + screened_k(len(own))]
                     held.append((prefix, np.full(len(prefix), ordinal, np.uint16)))
                     size += len(prefix)
                 ordinal += 1
@@ -282,7 +282,9 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     table = spark.read.parquet(path)
     rows = staged(table.where("kind = 0").select("doc_id", "n", "d1", "d2", "chunk", "ordinal"), "sets")
     matched = screened(table.where("kind = 1"))
-    some = rows.join(matched, ["chunk", "ordinal"]).where(F.col("matched") >= F.greatest(F.lit(1), F.expr("n div 10"))).select("d1", "d2").distinct()
+    some = rows.join(matched, ["chunk", "ordinal"])
+    # A pair shares as many as the smaller k of the two; the smallest partner has ceil(t n) shingles.
+    some = some.where(F.col("matched") >= F.greatest(F.lit(1), F.expr(f"(n * {percent} + 99) div 100 div 10"))).select("d1", "d2").distinct()
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("last"))
     some = staged(classes.join(some, ["d1", "d2"]).select("d1", "d2", "cid"), "screened")
     remove(spark, path)  # the largest of what is staged
