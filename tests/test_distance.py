@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.functions.distance import FARTHEST, distance, distances
+from vecloom.functions.distance import FARTHEST, distance, distance_to, distances
 from vecloom.types import Metric
 
 INF, NAN = float("inf"), float("nan")
@@ -26,6 +26,14 @@ def test_goldens(spark):
                 assert math.isclose(r.d, CASES[r.i][3], abs_tol=1e-3), CASES[r.i]
 
 
+@pytest.mark.parametrize("case", [0, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 16, 17])
+def test_to_one_vector(spark, case):
+    metric, a, b, want = CASES[case]
+    for x, y in ((a, b), (b, a)):
+        got = spark.createDataFrame([([float(v) for v in x],)], "a array<float>").select(distance_to(metric, F.col("a"), y)).first()[0]
+        assert math.isclose(got, want, abs_tol=1e-3)
+
+
 def test_matrices_agree():
     for metric, a, b, want in CASES:
         got = distances(metric, np.array([a], np.float32).astype(float), np.array([b], np.float32).astype(float))[0, 0]

@@ -19,7 +19,8 @@ FARTHEST = float(np.finfo(np.float32).max)
 
 
 def literal(vector: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(np.float32(x))) for x in vector]) if len(vector) else F.array().cast("array<double>")
+    """A vector as one constant, which is folded when the plan is made; not as an expression for each component."""
+    return F.split(F.lit(",".join(repr(float(np.float32(x))) for x in vector)), ",").cast("array<double>") if len(vector) else F.array().cast("array<double>")
 
 
 def _sum(values: Column) -> Column:
@@ -35,8 +36,9 @@ def _odd(x: Column) -> Column:
     return F.isnan(narrow) | (F.abs(narrow) == float("inf"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot, norms = _product(a, b), [_product(a, a), _product(b, b)]
+def cosine(a: Column, b: Column, norm: Column | None = None) -> Column:
+    """norm: the squared length of b, where it is known."""
+    dot, norms = _product(a, b), [_product(a, a), _product(b, b) if norm is None else norm]
     odd = _odd(dot) | _odd(norms[0]) | _odd(norms[1])
     product = norms[0] * norms[1]
     near = 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.sqrt(product)))
@@ -64,6 +66,16 @@ def distance(metric: Metric, a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), wrong).when(F.size(a) == 0, F.lit(0.0)).otherwise(BUILDERS[metric](a, b))
 
 
+def distance_to(metric: Metric, a: Column, vector: Sequence[float]) -> Column:
+    """The distance of a vector column to one vector, whose length is worked out once."""
+    b = literal(vector)
+    if metric is not Metric.COSINE or not len(vector):
+        return distance(metric, a, b)
+    norm = float(sum(float(np.float32(x)) ** 2 for x in vector))
+    wrong = F.raise_error(F.concat(F.lit(f"dimension mismatch: {len(vector)} and "), F.size(a).cast("string"))).cast("double")
+    return F.when(F.size(a) != len(vector), wrong).otherwise(cosine(a, b, F.lit(norm)))
+
+
 def distances(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The same for matrices: a row a query, a column a vector."""
     with np.errstate(all="ignore"):

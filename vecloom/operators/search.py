@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import distance, distances, literal
+from ..functions.distance import distance_to, distances
 from ..plans.filters import Equal, Filter, where
 from ..types import DimensionMismatch, Metric
 
@@ -52,7 +52,7 @@ class VectorQuery:
 
     def to_df(self) -> DataFrame:
         rows = where(self._df, *self._filters, struct=self._struct)
-        found = rows.withColumn("distance", distance(self._metric, F.col("vector"), literal(self._vector)))
+        found = rows.withColumn("distance", distance_to(self._metric, F.col("vector"), self._vector))
         found = found.orderBy("distance", "id").limit(self._k).withColumn("score", 1 - F.col("distance"))
         return found.where(F.col("score") >= self._least) if self._least > 0 else found
 
