@@ -89,6 +89,15 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], *, rows: int =
     return df.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
+def join_ids(df: DataFrame, ids: DataFrame, how: str, *, key: str = "doc_id", rows: int = 1_000_000) -> DataFrame:
+    """Join wide rows with a written table of small rows by id.
+
+    The ids are counted: up to ``rows`` of them (some 16 MB) they are broadcast,
+    so that the texts stay where they are; beyond that both sides are shuffled.
+    """
+    return df.join(F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids, key, how)
+
+
 def local_path(uri: str) -> tuple[object, str]:
     """pyarrow's file system and path of a URI: local, hdfs, s3, gcs and so on."""
     from pyarrow import fs

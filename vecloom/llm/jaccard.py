@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import fresh_path, remove, staged, text_of
+from .common import fresh_path, join_ids, remove, staged, text_of
 from .components import components
 
 #: Bytes of text that a bucket of the screening stands for.
@@ -288,7 +288,7 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("last"))
     some = staged(classes.join(some, ["d1", "d2"]).select("d1", "d2", "cid"), "screened")
     remove(spark, path)  # the largest of what is staged
-    texts = docs.join(some.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = join_ids(docs, staged(some.select(F.col("cid").alias("doc_id")).distinct(), "ids"), "left_semi")
     sets = full_sets(texts, n).join(some, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("cid", "n", "tokens")
     linked = link_components(staged(sets, "tokens"), percent)
     # A doc_id with several texts ties their classes together.
@@ -310,8 +310,8 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Documents without words and rows without a doc_id link with nothing and stay.
     """
-    gone = jaccard_groups(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = staged(jaccard_groups(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = join_ids(docs, gone, "left_anti").select(*docs.columns)
     again = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
     if not again.limit(1).count():
         return kept

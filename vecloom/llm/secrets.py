@@ -35,7 +35,7 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import join_ids, staged, text_of
 
 
 @dataclass(frozen=True)
@@ -215,7 +215,7 @@ def total(lengths: Column) -> Column:
 
 def verified(docs: DataFrame, cands: DataFrame, rules: tuple[Rule, ...], scan: set[int]) -> DataFrame:
     """docs with spans: array of (start, rule, end), sorted; rules in ``scan`` search every text."""
-    out = docs.join(cands, "doc_id", "left")
+    out = join_ids(docs, cands, "left")
     for n, rule in enumerate(rules):
         wanted = F.col("doc_id").isNull() | ((F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << n))) != 0)
         found = F.regexp_extract_all(text_of(), F.lit(rule.pattern), F.lit(0))
@@ -253,7 +253,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     wanted = sorted(set().union(*map(trigrams, queries.values())))
     docs = docs.drop("spans", "rules")
     cands = candidates(staged(trigram_index(docs, wanted), "trigrams"), {n: q for n, q in queries.items() if n not in scan})
-    return verified(docs, cands, rules, scan)
+    return verified(docs, staged(cands, "candidates"), rules, scan)
 
 
 def report(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
