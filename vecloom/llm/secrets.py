@@ -168,15 +168,17 @@ def trigrams(q: Query) -> set[str]:
 def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """Posting lists: segment, trigram, ids (of documents whose lower-cased text holds the trigram)."""
     segments = max(1, math.ceil(docs.count() / SEGMENT))
-    low = F.lower(F.col("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]))
+    # Lowered in a projection of its own, which Spark keeps as it is used more than once:
+    # within one expression over arrays a text would be lowered for each trigram.
+    flags = F.array(*[F.contains(F.col("low"), F.lit(t)) for t in wanted])
     return (
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select("doc_id", held.alias("held"))  # a projection lowers a text once; a generator would for each trigram
-        .select("doc_id", F.explode("held").alias("trigram"))
+        .select("doc_id", F.lower("text").alias("low")).select("doc_id", flags.alias("flags"))
+        .select("doc_id", F.posexplode("flags").alias("place", "held")).where("held")
+        .select("doc_id", F.get(F.array(*[F.lit(t) for t in wanted]), F.col("place")).alias("trigram"))
         .groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(segments)).alias("segment"), "trigram")
         .agg(F.collect_list("doc_id").alias("ids"))
-    )
+    )
 
 
 def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
