@@ -107,3 +107,37 @@ def test_document_counts(spark, docs):
     rows = list(enumerate(t for t in ODD if "<|" not in (t or "")))
     got = document_counts(docs(*rows), BYTE_BPE, 50256, 128).collect()
     assert {x.doc_id: x.n_tokens for x in got} == {d: len(ids) for d, ids in want(rows, 50256)}
+
+
+def plain(rows, end):
+    e = tokens.PieceEncoder(BYTE_BPE).tokenizer
+    e.encode_special_tokens = True
+    return {d: [*e.encode(t or "", add_special_tokens=False).ids, end] for d, t in rows}
+
+
+def test_document_counts_with_separator_text(spark, docs):
+    texts = [*ODD, "<|endoftext|>", "<|endoftext|><|endoftext|>", "x <|endoftext|> y\n<|endoftext|>"]
+    rows = list(enumerate(texts + texts))
+    lists = plain(rows, 50256)
+    got = document_counts(docs(*rows).coalesce(1), BYTE_BPE, 50256, 128).collect()
+    start, lines = 0, []
+    for d, _ in rows:
+        lines.append((d, d, start, len(lists[d])))
+        start += len(lists[d])
+    assert sorted((x.doc_id, x.ordinal, x.start, x.n_tokens) for x in got) == lines
+
+
+def test_plain_pieces_encode_like_whole_texts():
+    e, r = tokens.PieceEncoder(BYTE_BPE, plain=True), random.Random(3)
+    texts = ODD + ["".join(r.choices([" ", "\n", "'s", ".", "Ab", "é", "12", "<|endoftext|>", "<|", "x", "|"], k=r.randrange(1, 12))) for _ in range(2000)]
+    ids, bounds = e.encode(pa.array(texts, pa.string()))
+    want_ids = plain(enumerate(texts), 50256)
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        assert ids[a:b].tolist() == want_ids[i][:-1], repr(texts[i])
+    assert not (ids == 50256).any()
+
+
+def test_end_id_of_plain_text_is_refused(spark, docs):
+    end = tokens.PieceEncoder(BYTE_BPE).tokenizer.encode("a").ids[0]
+    with pytest.raises(Exception, match="cannot part them"):
+        document_counts(docs((1, "a")), BYTE_BPE, end).collect()

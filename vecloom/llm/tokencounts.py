@@ -10,7 +10,9 @@ its first ordinal.  Blocks are scanned in parallel and no index is needed.
 Defined cases: ids after the last separator of a file are a document too (of
 ``ended`` false); a file of separators only gives documents of length 1 (the
 separator counts); an empty file or table gives no rows; a file whose size is
-no multiple of the id's width is refused.
+no multiple of the id's width is refused.  Documents are encoded so that none
+holds the end id: a special token's text in a document counts as the tokens of
+plain text (see ``tokenfiles``).
 """
 
 from __future__ import annotations

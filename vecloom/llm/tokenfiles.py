@@ -10,7 +10,10 @@ where the vocabulary allows.  Beside the files stands a small table of where
 each document lies (file, place in the file, length), which is what maps rows
 back to documents.
 
-``flat`` files hold nothing but ids, little-endian, 16 or 32 bits.
+``flat`` files hold nothing but ids, little-endian, 16 or 32 bits.  As the end id
+is all that parts their documents, the text of a special token ("<|endoftext|>")
+is encoded as plain text there, never as the token; an end id that plain text
+gives is refused.
 
 Files are written under a temporary name and moved, so a task that runs again
 (lost executor, speculation) leaves the same file; the table of places is
@@ -44,12 +47,18 @@ PLACES = "file int, doc_id long, local_start long, n_tokens long"
 TASK_BYTES = 32 << 20
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """doc_ids, ids with the end id after each document, and the number of ids of each; for parts of the batches."""
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, apart: bool = False) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """doc_ids, ids with the end id after each document, and the number of ids of each; for parts of the batches.
+
+    If ``apart``, the end id only ends documents: a special token's text within
+    a document is plain text, and an end id that a document holds even so is refused.
+    """
     from .tokens import encoder
 
     for part in (p for b in batches for p in textnum.slices(b, "text")):
-        ids, bounds = encoder(tokenizer).encode(part.column(1))
+        ids, bounds = encoder(tokenizer, apart).encode(part.column(1))
+        if apart and (ids == end_id).any():
+            raise ValueError(f"the end id {end_id} stands for text of documents, so it cannot part them")
         yield part.column(0).to_pylist(), np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1
 
 
@@ -183,7 +192,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, order = TaskContext.get().partitionId(), []
-        parts = encoded(batches, tokenizer, end_id)
+        parts = encoded(batches, tokenizer, end_id, apart=True)
         first = next(parts, None)
         if first is None:
             return

@@ -23,14 +23,14 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[[ord(c) for c in '.,;:!?*$%&#|)]}"']] = True
-_loaded: dict[str, "PieceEncoder"] = {}
+_loaded: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
-def encoder(path: str) -> "PieceEncoder":
+def encoder(path: str, plain: bool = False) -> "PieceEncoder":
     """This worker's encoder for a tokenizer file."""
-    if path not in _loaded:
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = PieceEncoder(path, plain)
+    return _loaded[path, plain]
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,11 +63,15 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...]
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    """Encodes as the library does; if ``plain``, as it does when the text of a special token is text like any other."""
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.alone = Tokenizer.from_file(path)  # for pieces that hold a special token's text
+        self.alone.encode_special_tokens = plain
         specials = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.whole = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.mark, self.mark_text = max(specials), specials[max(specials)]
@@ -98,7 +102,7 @@ class PieceEncoder:
             ends = np.cumsum(counts)
             parts, at = [], 0
             for i in odd:
-                alone = np.array(self.tokenizer.encode(pieces[i], add_special_tokens=False).ids, dtype=np.uint32)
+                alone = np.array(self.alone.encode(pieces[i], add_special_tokens=False).ids, dtype=np.uint32)
                 parts += [ids[at : ends[i]], alone]
                 at, counts[i] = ends[i], len(alone)
             ids = np.concatenate([*parts, ids[at:]])
