@@ -87,3 +87,32 @@ def test_codes_stand_for_residuals():
     for i in range(3):
         looked_up = q[i] @ index.centroids[lists[5]] + sum(tables[i, g, codes[5, g]] for g in range(len(index.books)))
         assert math.isclose(looked_up, q[i] @ near[5], rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("n", [21, 40, 61])
+def test_small_lists_give_k_neighbours(spark, n):
+    """Equal vectors and a tight cluster, each in one list of at most 61 rows, far from all others."""
+    r = np.random.default_rng(8)
+    far = r.normal(size=(400, 6)) - [0, 0, 0, 0, 40, 40]
+    for cluster in (np.tile([9.0, 0, 0, 0, 0, 0], (n, 1)), r.normal(size=(n, 6)) * 0.01 + [9, 0, 0, 0, 0, 0]):
+        x, ids = np.concatenate([cluster, far]), np.arange(n + 400)
+        df = frame(spark, x)
+        got = by_query(nearest(df, df.where(f"id < {n}"), 20))
+        for q in range(n):
+            want, _ = exact(x, ids, x[q], q, 20)
+            assert [f[0] for f in got[q]] == list(range(1, 21)) and {f[1] for f in got[q]} == set(want.tolist())
+
+
+def test_one_list_of_equal_vectors(spark):
+    df = frame(spark, np.ones((21, 3)))
+    got = by_query(nearest(df, df, 20))
+    assert all([f[1] for f in got[q]] == [i for i in range(21) if i != q] for q in range(21))
+
+
+def test_repeats_of_an_id_take_no_places(spark):
+    """All rows of a cluster have one id, so a query's neighbours are in other lists than its own."""
+    x = np.random.default_rng(9).normal(size=(40, 16))
+    x = np.repeat(x / np.linalg.norm(x, axis=1, keepdims=True), 30, axis=0)
+    df = frame(spark, x, np.repeat(np.arange(40), 30))
+    got = by_query(nearest(df, df.dropDuplicates(["id"]), 20))
+    assert all(len(got.get(q, [])) == 20 and q not in {f[1] for f in got[q]} for q in range(40))

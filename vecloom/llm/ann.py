@@ -149,14 +149,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = RE
         for b in batches:
             q = matrix(b.column(1), b.num_rows)
             order = np.argsort(-(q @ sent.value.centroids.T), axis=1, kind="stable")
-            # On beyond the usual number until there are k candidates besides the query itself.
-            enough = np.argmax(np.cumsum(held[order], axis=1) >= min(k + 1, held.sum()), axis=1) + 1
+            # On beyond the usual number until there are k candidates besides the query's own rows.
+            least = np.minimum(k + np.maximum(b.column(2).to_numpy(), 1), held.sum())
+            enough = np.argmax(np.cumsum(held[order], axis=1) >= least[:, None], axis=1) + 1
             many = np.maximum(enough, sent.value.probes)
             row = np.repeat(np.arange(len(q)), many)
             lists = np.concatenate([o[:m] for o, m in zip(order, many)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(lists), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["list", "query_id", "vector"])
 
-    probed = staged(queries.select("id", "vector").mapInArrow(probe, f"list int, query_id long, vector {kind}"), "probes")
+    own_rows = indexed.groupBy("id").agg(F.count("*").alias("own"))
+    asking = queries.select("id", "vector").join(own_rows, "id", "left").select("id", "vector", F.coalesce("own", F.lit(0)).alias("own"))
+    probed = staged(asking.mapInArrow(probe, f"list int, query_id long, vector {kind}"), "probes")
     asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     parts = lambda of, size: F.get(F.array(*[F.lit(max(1, -(-of.get(i, 0) // size))) for i in range(len(held))]), F.col("list"))
     left = indexed.withColumn("rows", F.pmod(F.xxhash64("id", F.col("vector")), parts(counts, BLOCK)).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), parts(asked, QUERIES) - 1)))
@@ -179,7 +182,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = RE
                 near[own[:, None] == ids[None, :]] = -np.inf
                 short = np.argsort(-near, axis=1, kind="stable")[:, :depth]
                 exact = np.einsum("qrd,qd->qr", x[short], q)
-                order = np.lexsort((ids[short], -exact))[:, :k]
+                # The query's own rows come last, so they take none of the k places.
+                order = np.lexsort((ids[short], -exact, ids[short] == own[:, None]))[:, :k]
                 short, exact = np.take_along_axis(short, order, axis=1), np.take_along_axis(exact, order, axis=1)
                 other = ids[short] != own[:, None]
                 out["query_id"].append(np.repeat(own, other.sum(axis=1)))
