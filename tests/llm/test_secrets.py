@@ -65,3 +65,32 @@ def test_queries_hold_for_matches(pattern, matches):
 def test_queries():
     assert trigram_query(RULES[2].pattern) == ("all",) and trigram_query(RULES[1].pattern) == ("and", (("has", "aki"), ("has", "kia")))
     assert {"pas", "swd", "tok", "i_k", "pik"} <= trigrams(trigram_query(RULES[0].pattern))
+
+
+LINES = ["MIIEowIBAAKCAQEA" + "aB3+/z9Q" * 6] * 30
+FULL = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *LINES, "Zm9v==", "-----END RSA PRIVATE KEY-----"])
+CUT = "\n".join(["-----BEGIN PRIVATE KEY-----", *LINES, "Zm9vYg=="])
+LOCKED = FULL.replace("KEY-----\nMII", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\nMII", 1)
+
+
+def test_whole_private_keys(spark, docs):
+    """The key goes with its header, with and without an END line, and nothing beyond it."""
+    keys = [FULL, FULL.replace("\n", "\r\n"), FULL.replace("\n", "\\n"), FULL.replace("\n", "\n    "), FULL.replace("\n", " "), LOCKED, CUT, CUT.replace("\n", "\n  "), LOCKED[: LOCKED.index("\n-----END")], FULL[:300]]
+    texts = [f"before {k}\n\nThen prose, of long-winded words." for k in keys]
+    header = "-----BEGIN EC PRIVATE KEY-----"
+    texts += [f"{header} is a header. " + "clean, well-known text " * 4000, f"{header} and {FULL}\n{FULL} x", "\n".join([header, *LINES * 7])]
+    want = ["before [SECRET]\n\nThen prose, of long-winded words."] * len(keys) + ["[SECRET] is a header. " + "clean, well-known text " * 4000, "[SECRET] and [SECRET]\n[SECRET] x", "[SECRET]"]
+    out = {r.doc_id: r.text for r in redacted(secret_spans(docs(*enumerate(texts)))).collect()}
+    assert [out[i] for i in range(len(texts))] == want
+
+
+def test_sql_of_private_keys(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    from vecloom.llm.oracles import secrets_sql
+
+    rows = list(enumerate([FULL, CUT, LOCKED, f"x {CUT}\nThen prose.", f"{FULL} y {CUT} z", FULL.replace("\n", "\\n"), "-----BEGIN PRIVATE KEY----- only"]))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = report(secret_spans(docs(*rows))).collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(secrets_sql()).fetchall())

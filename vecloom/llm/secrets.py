@@ -16,6 +16,8 @@ Defined cases: null text counts as empty and has no spans; rows with a null
 doc_id are candidates of every rule; rows that share a doc_id share candidates
 (more are verified, none is missed); repeated rows are returned as often as
 they occur; an empty table gives an empty result; further columns are ignored.
+The span of a private key is the whole key, from its BEGIN through its END line,
+or through the base64 lines that follow if it has none.
 """
 
 from __future__ import annotations
@@ -55,8 +57,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: What follows the header of a private key: all up to its END line (no five hyphens in a row, at most 50 groups of fewer);
+#: without one, its own headers and base64 lines (at most 240, in parts that RE2 can count), then one shorter line.
+#: A line break may be written as an escape. What stands on the shorter line up to a sign beyond base64 counts as the key's.
+BREAK = r"(?:[ \t\r\n]+|(?:\\r)?\\n)"
+KEY_LINES = rf"(?:{BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}}){{0,60}}"
+KEY_BODY = (
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,50}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"|(?:{BREAK}[A-Z][A-Za-z]*-[A-Z][A-Za-z]*: [^\r\n\\]*){{0,5}}{BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}}{KEY_LINES * 4}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]{{1,15}}={{0,2}})?)?"
+)
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + KEY_BODY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
