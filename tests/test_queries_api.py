@@ -115,3 +115,16 @@ def test_cursor_of_another_sort(five):
         ScalarQuery(five).order_by("priority", DESC).after(cursor).to_page()
     with pytest.raises(ValueError):
         ScalarQuery(five).order_by("priority").after(Cursor(("priority",), (ASC,), (), 1)).to_page()
+
+
+@pytest.mark.parametrize("name,table", [("sort_multi", "documents"), ("sort_stable_ties", "documents"), ("sort_nulls_asc", "documents"), ("sort_nulls_desc", "documents"), ("sort_fraction", "events")])
+def test_sorting_queries_return_all_rows(spark, name, table):
+    duckdb = pytest.importorskip("duckdb")
+    from vecloom.queries import QUERIES, SQL
+
+    folder, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "labels", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = sorted(tuple(r) for r in QUERIES[name](spark, folder).collect())
+    assert len(got) == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    assert got == sorted(con.execute(SQL[name]).fetchall())

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .llm.common import staged
 from .operators import records
 from .operators.scalar import ScalarQuery
 from .operators.search import VectorQuery, knn_batch
@@ -170,6 +171,10 @@ _project("project_metadata_text", Projection.METADATA | Projection.TEXT, ["id",
 _project("project_all", Projection.ALL, ["id", "metadata.n_chars AS n_chars", "char_length(text) AS text_length", "size(vector) AS dimensions"], "id, n_chars, length(text)::INT AS text_length, len(embedding)::INT AS dimensions")
 
 
+#: Rows that a sorting query returns: all.
+EVERY = 2**31 - 1
+
+
 def _sort(name: str, order: list[tuple[str, Direction]], k: int, sql: str, *filters: Filter, predicate: str = "true", source=docs_meta, columns: tuple[str, ...] = ("lang", "n_chars", "quality")) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = source(spark, d)
@@ -178,6 +183,11 @@ def _sort(name: str, order: list[tuple[str, Direction]], k: int, sql: str, *filt
             q.where(f)
         for field, direction in order:
             q.then_by(field, direction)
+        if k == EVERY:
+            # A range sort, kept, so that its partitions are numbered as they were sorted; no task sees all rows.
+            ranged = q.rows().select("id", F.col("id").alias("record"), "metadata")
+            ranged = ranged.repartitionByRange(*q.sort_keys()).sortWithinPartitions(*q.sort_keys()).withColumn("_at", F.monotonically_increasing_id())
+            return records.dense(staged(ranged, "sorted"), 1).select(F.col("id").cast("int").alias("pos"), F.col("record").alias("id"), *[shown(c) for c in columns])
         pos = F.row_number().over(Window.orderBy(*q.sort_keys()))
         return q.to_df().select(pos.alias("pos"), "id", *[shown(c) for c in columns])
 
@@ -187,11 +197,11 @@ def _sort(name: str, order: list[tuple[str, Direction]], k: int, sql: str, *filt
         SELECT pos::INT AS pos, id, {", ".join(map(shown_sql, columns))} FROM r WHERE pos <= {k}"""
 
 
-_sort("sort_multi", [("lang", ASC), ("n_chars", DESC)], 200, "lang ASC NULLS FIRST, n_chars DESC NULLS LAST, id")
-_sort("sort_stable_ties", [("source", DESC)], 300, "source DESC NULLS LAST, id", columns=("source",))
-_sort("sort_nulls_asc", [("quality", ASC), ("n_chars", ASC)], 700, "quality ASC NULLS FIRST, n_chars ASC NULLS FIRST, id")
-_sort("sort_nulls_desc", [("quality", DESC), ("n_chars", ASC)], 700, "quality DESC NULLS LAST, n_chars ASC NULLS FIRST, id")
-_sort("sort_fraction", [("value", DESC), ("event_type", ASC)], 100, "value DESC NULLS LAST, event_type ASC NULLS FIRST, id", source=events, columns=("event_type", "user_id", "value"))
+_sort("sort_multi", [("lang", ASC), ("n_chars", DESC)], EVERY, "lang ASC NULLS FIRST, n_chars DESC NULLS LAST, id")
+_sort("sort_stable_ties", [("source", DESC)], EVERY, "source DESC NULLS LAST, id", columns=("source",))
+_sort("sort_nulls_asc", [("quality", ASC), ("n_chars", ASC)], EVERY, "quality ASC NULLS FIRST, n_chars ASC NULLS FIRST, id")
+_sort("sort_nulls_desc", [("quality", DESC), ("n_chars", ASC)], EVERY, "quality DESC NULLS LAST, n_chars ASC NULLS FIRST, id")
+_sort("sort_fraction", [("value", DESC), ("event_type", ASC)], EVERY, "value DESC NULLS LAST, event_type ASC NULLS FIRST, id", source=events, columns=("event_type", "user_id", "value"))
 _sort("scalar_topk", [("n_chars", DESC)], 10, "n_chars DESC NULLS LAST, id", Equal("lang", "en"), predicate="lang = 'en'")
 _sort("scalar_default_order", [], 10, "id")
 
