@@ -28,3 +28,35 @@ def test_own_table_and_empty(spark, docs):
     texts = known(spark, (("b", "My text!"), ("a", "my TEXT")))
     assert [r.license for r in license_scan(docs((1, "my, text")), texts).collect()] == ["a"]
     assert license_scan(docs((1, "x")).limit(0)).collect() == []
+
+
+def test_common_licenses(spark, docs):
+    from vecloom.llm.licenses import files
+
+    folder = files("vecloom.llm").joinpath("license_texts")
+    texts = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir()}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    rows, want = [], []
+    for name, text in sorted(texts.items()):
+        joined = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        for t in (text, "Copyright (c) 2020, Someone Else\n\n" + text.replace("Licence", "License"), text.upper(), joined, text.partition("END OF TERMS AND CONDITIONS")[0]):
+            rows.append((len(rows), t))
+            want.append(name)
+        rows.append((len(rows), text + "\nAnd more."))
+        want.append(None)
+    got = {r.doc_id: r.license for r in license_scan(docs(*rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_sql_of_common_licenses(spark, docs):
+    import pytest
+
+    duckdb = pytest.importorskip("duckdb")
+    from vecloom.llm.licenses import TEXTS
+    from vecloom.llm.oracles import license_sql
+
+    rows = [(i, t) for i, (_, t) in enumerate(TEXTS)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(tuple(r) for r in license_scan(docs(*rows)).collect()) == sorted(con.execute(license_sql()).fetchall())

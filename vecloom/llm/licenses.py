@@ -9,7 +9,8 @@ under the ...") are found the same way, line by line: only lines that hold
 known notices all do.
 
 The known texts are a table (license, text) that the caller may replace; the
-built-in one has short permissive licences and common notices.  Its digests are
+built-in one has the common licences, in the layouts they come in (see
+``layouts``), and common notices.  Its digests are
 made by the same expression, so both sides always agree.  It is counted and
 broadcast up to a bound, and joined salted beyond it.
 
@@ -22,6 +23,9 @@ ignored.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +49,30 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 ISC_KEEP = ", provided that the above copyright notice and this permission notice appear in all copies"
 ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+TITLES = {"BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
+
+
+def layouts(name: str) -> list[tuple[str, str]]:
+    """A licence of the folder license_texts as it is found: with and without a title, the numbers of its
+    clauses and what follows its terms, that with a year filled in or not; in lines, and a paragraph a line
+    (which differs where a line starts like a copyright line)."""
+    text = files(__package__).joinpath("license_texts", f"{name}.txt").read_text("utf-8")
+    found = [text]
+    if name in TITLES:
+        found += [re.sub(r"(?m)^[0-9]\. ", "* ", text), text.replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS")]
+        found += [f"{title}\n\n{t}" for t in found for title in TITLES[name]]
+    terms = text.partition("END OF TERMS AND CONDITIONS")
+    if terms[1]:
+        found += [terms[0], terms[0] + terms[1], text.replace("Copyright [yyyy]", "Copyright 2000")]
+    found += [re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", t) for t in found if re.search(r"(?im)^\W*(copyright|\(c\)|©|all rights)", t)]
+    return [(name, t) for t in dict.fromkeys(found)]
+
+
 #: Known texts: whole licences, and notices of one line.
 TEXTS = (
     ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License\n\n" + MIT),
     ("ISC", f"{ISC_GRANT}{ISC_KEEP}.\n\n{ISC_WARRANTY}"), ("ISC", f"ISC License\n\n{ISC_GRANT}{ISC_KEEP}.\n\n{ISC_WARRANTY}"), ("0BSD", f"{ISC_GRANT}.\n\n{ISC_WARRANTY}"),
+    *(x for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0") for x in layouts(name)),
 )
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
