@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .llm.common import staged
 from .operators import records
 from .operators.scalar import ScalarQuery
 from .operators.search import VectorQuery, knn_batch
 from .plans.filters import And, Equal, Fields, Filter, In, Not, NotEqual, Or, Range, where
 from .plans.ordering import Cursor, after
+from .sources.staging import staged
 from .types import Direction, Metric, Projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
