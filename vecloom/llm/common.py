@@ -2,69 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import fresh_path, release, remove, shared_dir, staged
+
+__all__ = ["fresh_path", "release", "remove", "shared_dir", "staged"]
+
 #: White space that separates words, as bytes; a word is a run of anything else.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only a session without that setting (as in tests) gets a local folder of
-    its own, which is removed when Python ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="vecloom-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/vecloom/{what}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete everything that the operators staged in the shared folder."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/vecloom")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete one staged folder that no plan reads any more."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def text_of(column: str | Column = "text") -> Column:
     """The text, '' for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
