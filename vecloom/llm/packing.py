@@ -111,7 +111,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        for batch in (part for b in batches for part in textnum.slices(b, "text")):
+        for batch in textnum.parts(batches, "text"):
             ids, bounds = encoder(tokenizer).encode(batch.column(1))
             rows = []
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):

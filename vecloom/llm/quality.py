@@ -12,10 +12,12 @@ features come to the driver.  Scoring goes through all texts in one pass,
 without a shuffle; the model has a fixed size and is broadcast.
 
 Defined cases: null text counts as empty and is scored like any text (all word
-features 0); a null n_chars has a feature of its own; labels with a null doc_id
-or quality are not learned from; if all labels learned from agree, or there are
-none, the score is their smoothed share; repeated rows are scored as often as
-they occur; an empty table gives an empty result; further columns are ignored.
+features 0); a null n_chars has a feature of its own; a very long text is scored
+whole, in memory of some 20 times its bytes; labels with a null doc_id or quality
+are not learned from; of rows that share a doc_id one is learned from; if all
+labels learned from agree, or there are none, the score is their smoothed share;
+repeated rows are scored as often as they occur; an empty table gives an empty
+result; further columns are ignored by ``scored`` and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -61,13 +63,15 @@ def features(column: pa.Array, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndar
     norm = np.sqrt(np.bincount(of, value**2, n))
     value = value / np.maximum(norm, 1e-9)[of]
     some = np.maximum(words, 1)
-    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[offsets])
     size = np.maximum(np.diff(offsets), 1)
+    full = np.flatnonzero(np.diff(offsets))  # texts with bytes: between their starts nothing else lies
     columns = []
     for chars in BYTES.values():
-        own = np.zeros(256, np.uint8)
+        own, total = np.zeros(256, np.uint8), np.zeros(n)
         own[list(chars)] = 1
-        columns.append(total(own[data]) / size)
+        if len(full):
+            total[full] = np.add.reduceat(own[data], offsets[full], dtype=np.int64)
+        columns.append(total / size)
     length = (ends - starts).astype(np.float64)
     # Lines: spans between line feeds, texts' ends included.
     feed = np.flatnonzero(data == 10)
@@ -161,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for x in batches for p in textnum.slices(x, "text")):
+        for b in textnum.parts(batches, "text"):
             bucket, value, at, raw = features(b.column(1), b.column(2).to_numpy(zero_copy_only=False))
             lists = [[bucket[i:j].astype("<u2").tobytes(), value[i:j].astype("<f4").tobytes()] for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     # At most ``rows`` small rows: that bound is what lets them go to every task.
     known = _columns(docs).join(F.broadcast(chosen), "doc_id")
     got = known.select("doc_id", "text", "n_chars", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, buckets binary, values binary, stats binary")
-    got = got.toArrow().sort_by("doc_id")
+    # A doc_id that repeats is learned from once (of several texts one, by order of what is known of them).
+    got = got.groupBy("doc_id").agg(F.min(F.struct("quality", "buckets", "values", "stats")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     parts = [np.frombuffer(x, "<u2") for x in got["buckets"].to_pylist()]
     at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     join = lambda column, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in got[column].to_pylist())])
@@ -184,7 +189,7 @@ def scored(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for x in batches for p in textnum.slices(x, "text")):
+        for b in textnum.parts(batches, "text"):
             score = sent.value.score(*features(b.column(1), b.column(2).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
 
@@ -199,7 +204,7 @@ def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     text, chars = names.index("text"), names.index("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for x in batches for p in textnum.slices(x, "text")):
+        for b in textnum.parts(batches, "text"):
             score = sent.value.score(*features(b.column(text), b.column(chars).cast(pa.float64()).to_numpy(zero_copy_only=False)))
             yield b.filter(pa.array(score >= cut))
 

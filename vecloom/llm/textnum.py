@@ -8,6 +8,9 @@ mixed; they agree between runs, tasks and machines.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,7 +22,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -105,7 +108,7 @@ def words(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.nd
     return spans_hash(data, starts, ends, lower), bounds
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Parts of a batch of at most about ``limit`` bytes of text each, so that memory stays bounded."""
     if batch.num_rows == 0:
         return
@@ -118,3 +121,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
         last = max(int(np.searchsorted(sizes, done + limit, "right")), first + 1)
         yield batch.slice(first, last - first)
         first = last
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in such parts; after the last one, memory that is free goes back to the system, as workers are used again."""
+    for batch in batches:
+        yield from slices(batch, column)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which has no such call
+        pass

@@ -55,7 +55,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, apar
     """
     from .tokens import encoder
 
-    for part in (p for b in batches for p in textnum.slices(b, "text")):
+    for part in textnum.parts(batches, "text"):
         ids, bounds = encoder(tokenizer, apart).encode(part.column(1))
         if apart and (ids == end_id).any():
             raise ValueError(f"the end id {end_id} stands for text of documents, so it cannot part them")

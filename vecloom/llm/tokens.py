@@ -17,8 +17,10 @@ import pyarrow as pa
 
 from . import textnum
 
-#: Pieces kept by a worker; beyond that it starts anew (about 40 bytes each).
-KEPT_PIECES = 3_000_000
+#: Pieces kept by a worker (about 40 bytes each); beyond that it forgets those that the present texts lack.
+KEPT_PIECES = 500_000
+#: Pieces that one call encodes, as the library takes some hundred bytes a token while it works.
+CALL_PIECES = 10_000
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 PUNCTUATION = np.zeros(256, dtype=bool)
@@ -69,9 +71,10 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.alone = Tokenizer.from_file(path)  # for pieces that hold a special token's text
-        self.alone.encode_special_tokens = plain
+        self.tokenizer = self.alone = Tokenizer.from_file(path)
+        if plain:
+            self.alone = Tokenizer.from_file(path)  # for pieces that hold a special token's text
+            self.alone.encode_special_tokens = True
         specials = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.whole = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.mark, self.mark_text = max(specials), specials[max(specials)]
@@ -83,6 +86,13 @@ class PieceEncoder:
         self.first = np.zeros(1, np.int64)  # of each kept piece in self.ids, and the end
         self.ids = np.zeros(0, np.uint32)
 
+    def keep(self, slots: np.ndarray) -> None:
+        """Forget all pieces but some (those of the present texts, which are the most frequent ones)."""
+        place = self.place[slots]
+        begin, count = self.first[place], self.first[place + 1] - self.first[place]
+        self.known, self.place, self.first = self.known[slots], np.arange(len(slots)), np.concatenate([[0], np.cumsum(count)])
+        self.ids = self.ids[np.repeat(begin - self.first[:-1], count) + np.arange(self.first[-1])]
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces and their number for each piece.
 
@@ -110,31 +120,28 @@ class PieceEncoder:
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of a column's texts, and the n + 1 offsets of each text's."""
-        import pandas as pd
-
         data, offsets = textnum.buffers(column)
         starts = piece_starts(data, offsets, self.whole)
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        codes, distinct = pd.factorize(textnum.spans_hash(data, starts, ends))
+        distinct, sample, codes = np.unique(textnum.spans_hash(data, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         at[at == len(self.known)] = 0
         new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(new):
             if len(self.known) and len(self.known) + len(new) > KEPT_PIECES:
-                self.reset()
-                new = np.arange(len(distinct))
-            sample = np.empty(len(distinct), np.int64)
-            sample[codes[::-1]] = np.arange(len(codes))[::-1]  # a place where each distinct piece occurs
+                self.keep(at[self.known[at] == distinct])
             raw = data.tobytes()
-            ids, counts = self.encode_pieces([raw[s:e].decode("utf-8") for s, e in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())])
-            self.place = np.concatenate([self.place, np.arange(len(new)) + len(self.known)])
-            self.known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(self.known)
-            self.known, self.place = self.known[order], self.place[order]
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
-            self.ids = np.concatenate([self.ids, ids])
+            parts = []
+            for k in range(0, len(new), CALL_PIECES):
+                own = sample[new[k : k + CALL_PIECES]]
+                parts.append(self.encode_pieces([raw[s:e].decode("utf-8") for s, e in zip(starts[own].tolist(), ends[own].tolist())]))
+            where = np.searchsorted(self.known, distinct[new])
+            self.place = np.insert(self.place, where, np.arange(len(new)) + len(self.known))
+            self.known = np.insert(self.known, where, distinct[new])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([c for _, c in parts]))])
+            self.ids = np.concatenate([self.ids, *(i for i, _ in parts)])
             at = np.searchsorted(self.known, distinct)
         slot = self.place[at][codes]
         begin, count = self.first[slot], self.first[slot + 1] - self.first[slot]
