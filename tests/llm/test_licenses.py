@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from vecloom.llm.licenses import MIT, NOTICES, license_scan
 
 
@@ -60,3 +62,13 @@ def test_sql_of_common_licenses(spark, docs):
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert sorted(tuple(r) for r in license_scan(docs(*rows)).collect()) == sorted(con.execute(license_sql()).fetchall())
+
+
+def test_more_notices_than_are_broadcast(spark, docs):
+    """Beyond the bound notices are joined like any table; nothing is refused."""
+    from vecloom.llm.licenses import digest, known, license_scan
+
+    many = spark.range(30_000).select(F.concat(F.lit("N"), "id").alias("license"), digest(F.concat(F.lit("Notice of licence "), "id")).alias("digest"))
+    rows = [(1, "x\nnotice of license 29999\nNotice of licence: 7!\ny"), (2, "nothing"), (1, "Notice of licence 7"), (None, None), (3, "Notice of licence 7\nNOTICE OF LICENCE 7")]
+    got = sorted((str(r.doc_id), r.notices) for r in license_scan(docs(*rows), known(spark), many).collect())
+    assert got == [("1", "N29999,N7"), ("1", "N7"), ("2", ""), ("3", "N7"), ("None", "")]

@@ -8,10 +8,10 @@ under the ...") are found the same way, line by line: only lines that hold
 "licen" or "releas" or "copyright" after lower-casing are looked up, which the
 known notices all do.
 
-The known texts are a table (license, text) that the caller may replace; the
-built-in one has the common licences, in the layouts they come in (see
+The known texts and notices are tables (license, digest; see ``known``) of one row
+a digest that the caller may replace by tables of any size; the built-in one has the common licences, in the layouts they come in (see
 ``layouts``), and common notices.  Its digests are
-made by the same expression, so both sides always agree.  It is counted and
+made by the same expression, so both sides always agree.  They are counted and
 broadcast up to a bound, and joined salted beyond it.
 
 Defined cases: null text gives a null digest and no licence; a text without
@@ -29,7 +29,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small
+from .common import join_ids, join_small, staged
 
 #: Equivalent spellings, applied in order to lower-cased text whose words single spaces part.
 SPELLINGS = (
@@ -107,9 +107,9 @@ def license_scan(docs: DataFrame, texts: DataFrame | None = None, notices: DataF
     notices = known(spark, NOTICES) if notices is None else notices
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.lower(x).rlike("licen|releas|copyright"))
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.when(F.size(lines) > 0, F.array_distinct(F.transform(lines, digest))).alias("_lines"))
-    out = join_small(rows, texts, ["digest"], by=F.xxhash64("doc_id"))
-    if (rows_of := notices.limit(20_001).collect()) and len(rows_of) > 20_000:
-        raise ValueError("more than 20,000 notices: look lines up with license_scan on a table of lines")
-    names = F.create_map(*[F.lit(x) for r in sorted(rows_of) for x in (r["digest"], r["license"])])
-    found = F.array_sort(F.array_distinct(F.array_compact(F.transform("_lines", lambda d: F.try_element_at(names, d)))))
-    return out.select("doc_id", "digest", "license", F.coalesce(F.array_join(found, ","), F.lit("")).alias("notices"))
+    # The texts are read once; what follows joins digests, and gathers notices by the row's number.
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "digests")
+    looked_up = staged(rows.where("_lines IS NOT NULL").select("_row", F.explode("_lines").alias("digest")), "lines")
+    found = join_small(looked_up, notices, ["digest"]).where("license IS NOT NULL").groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    out = join_ids(join_small(rows.drop("_lines"), texts, ["digest"]), staged(found, "notices"), "left", key="_row")
+    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
