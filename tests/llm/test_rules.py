@@ -67,3 +67,13 @@ def test_verdict(spark, docs):
 
 def test_empty(spark, docs):
     assert quality_rules(docs((1, "x")).limit(0)).collect() == []
+
+
+def test_texts_of_very_many_windows_are_exact(spark, docs):
+    """With room for 8 places only, longer texts take the other way; both give the same counts."""
+    from vecloom.llm.rules import measured
+
+    texts = [" ".join(f"w{(i * i) % (3 + k)}" for i in range(5 + 7 * k)) for k in range(12)] + ["a b c " * 3000 + "tail", None, ""]
+    given = docs(*enumerate(texts))
+    count = lambda place: sorted((r.doc_id, r.n_words, r.n_repeat_words) for r in measured(given, place).collect())
+    assert count(3) == count(24) and max(c[2] for c in count(3)) == 9000

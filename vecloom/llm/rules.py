@@ -13,8 +13,10 @@ Texts are read once; later steps read the written rates.
 
 Defined cases: null text counts as empty (no words: base_failed); null lang and
 source are groups of their own; a document without words strikes no adaptive
-rule; repeated rows are counted and returned as often as they occur; an empty
-table gives an empty result; further columns are ignored.
+rule; a very long text is measured whole, within one task (its arrays of words,
+hashes and windows take some 100 bytes a word); repeated rows are counted and
+returned as often as they occur; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from .common import SPACES, join_small, null_key, staged, text_of
 #: In thousandths: each rate's name, and the least distance of quartiles that a fence counts with.
 RATES = {"symbols": 10, "dup_lines": 150, "repeats": 100, "word_length": 500, "capitals": 50}
 SPREAD, LEAST, MIN_WORDS, MAX_REPEAT = 3, 50, 50, 50
-#: Bits of a window's place in its text, below those of its hash, while windows are sorted.
-PLACE = 27
+#: Bits of a window's place in its text, below those of its hash, while windows are sorted; a text with more windows
+#: sorts pairs of hash and place instead, which takes longer.
+PLACE = 24
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, place: int = PLACE) -> DataFrame:
     """doc_id, lang, source, the base counts and the rates of every document.
 
     Words in 3-word windows that occur twice or more: windows are sorted by
@@ -50,10 +53,12 @@ def measured(docs: DataFrame) -> DataFrame:
             F.slice("_hash", F.lit(3), F.size("_hash") - 2), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>")),
     )
     # The hash's upper bits and the place in one number, so that one sort of numbers brings equal windows together.
-    mask = F.lit(-(1 << PLACE))
+    mask = F.lit(-(1 << place))
     packed = F.array_sort(F.transform("_windows", lambda h, i: h.bitwiseAND(mask).bitwiseOR(i.cast("long"))))
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), packed).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("_sorted", F.transform("_sorted", lambda p: p.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")))
+    packed = F.transform(packed, lambda p: p.bitwiseAND(F.lit((1 << place) - 1)).cast("int"))
+    pairs = F.transform(F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda p: p["i"])
+    sorted_ = F.when(F.size("_windows") <= 1 << place, packed).otherwise(pairs)
+    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), sorted_).otherwise(F.array().cast("array<int>")))
     out = out.withColumn("_full", F.transform("_sorted", lambda i: F.get("_windows", i)))
     same = lambda i, k: F.get("_full", i) == F.get("_full", i + k)
     twice = F.filter(F.transform("_sorted", lambda p, i: F.when(same(i, 1) | same(i, -1) | same(i, 2) | same(i, -2), p).otherwise(F.lit(-1))), lambda p: p >= 0)
@@ -121,7 +126,7 @@ def quality_rules(docs: DataFrame, floors: dict[str, int] = RATES, spread: int =
     # One row, of as many columns as there are rates.
     overall = quantile_fences(merged, [], floors, spread).agg(*[F.max(F.when(F.col("rate") == n, F.col("fence"))).alias(f"_all_{n}") for n in names])
     wide = fences.groupBy("_lang", "_source").agg(*[F.max(F.when((F.col("rate") == n) & (F.col("_n") >= least), F.col("fence"))).alias(f"_own_{n}") for n in names])
-    out = join_small(rates, wide.crossJoin(F.broadcast(overall)), ["_lang", "_source"], by=F.xxhash64("doc_id"))
+    out = join_small(rates, wide.crossJoin(F.broadcast(overall)), ["_lang", "_source"])
     struck = F.lit(False)
     for n in names:
         struck = struck | F.coalesce(F.col(n) > F.coalesce(F.col(f"_own_{n}"), F.col(f"_all_{n}")), F.lit(False))
