@@ -111,3 +111,26 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up if find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_representatives_of_ids_with_several_texts(spark, docs):
+    """Texts are what links: an id's other text goes only if it links itself; names of further columns do not matter."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(7, a), (7, b), (3, a), (9, c), (9, None), (9, c), (9, ""), (12, c + " more"), (12, None), (20, a + " more"), (20, a), (None, c)]
+    out = representatives(docs(*rows).withColumnRenamed("lang", "_d1").withColumnRenamed("source", "rows").withColumnRenamed("n_chars", "component"))
+    assert out.columns == ["doc_id", "text", "_d1", "rows", "component"]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(3, a), (7, b), (9, c), (9, None), (9, ""), (12, None), (None, c)]))
+
+
+def test_a_shingle_in_every_text(spark, docs, monkeypatch):
+    """Texts of one passage and own words, many more than a block holds; only some link."""
+    from vecloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 1 << 10)
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, f"{passage} " + " ".join(f"o{r.randrange(4000)}" for _ in range(20))) for i in range(400)]
+    rows += [(1000 + i, rows[i * 3][1] + " tail") for i in range(60)]
+    got = jaccard_groups(docs(*rows).repartition(3)).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == by_hand(rows, 4, 85)

@@ -8,14 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import fresh_path, release, remove, shared_dir, staged
-
-__all__ = ["fresh_path", "release", "remove", "shared_dir", "staged"]
+from ..sources.staging import fresh_path, release, remove, shared_dir, staged  # noqa: F401
 
 #: White space that separates words, as bytes; a word is a run of anything else.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,26 +30,50 @@ def null_key(column: str | Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~"))
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: list[str], *, rows: int = 20_000, salts: int = 32, by: Column | None = None) -> DataFrame:
-    """Left join with a table of one row a key, without sending a hot key to one task.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def free_prefix(df: DataFrame, prefix: str = "_x") -> str:
+    """``prefix``, with underscores behind it until no column of ``df`` starts so in any case."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def salted_join(df: DataFrame, small: DataFrame, keys: list[str], how: str, salts: int = 32) -> DataFrame:
+    """Join with a table of one row a key so that each key's rows (null ones too) spread over ``salts`` tasks.
+
+    Rows are dealt by their place, so ``df`` should be a written table, which is read in the same order again.
+    """
+    salt = free_name(df, "_salt")
+    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(spread, [*keys, salt], how).drop(salt)
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], *, rows: int = 20_000, salts: int = 32) -> DataFrame:
+    """Left join of a written table with one of one row a key, without sending a hot key to one task.
 
     ``small`` is counted: up to ``rows`` rows it is broadcast; beyond that both
     sides are salted, so that a key's rows spread over ``salts`` tasks.
     """
     if small.limit(rows + 1).count() <= rows:
         return df.join(F.broadcast(small), keys, "left")
-    by = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]) if by is None else by
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+    return salted_join(df, small, keys, "left", salts)
 
 
 def join_ids(df: DataFrame, ids: DataFrame, how: str, *, key: str = "doc_id", rows: int = 1_000_000) -> DataFrame:
-    """Join wide rows with a written table of small rows by id.
+    """Join a written table of wide rows with a written table of small rows, one an id.
 
     The ids are counted: up to ``rows`` of them (some 16 MB) they are broadcast,
-    so that the texts stay where they are; beyond that both sides are shuffled.
+    so that the texts stay where they are; beyond that both sides are shuffled,
+    salted, as an id (or null) may be that of very many rows.
     """
-    return df.join(F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids, key, how)
+    return df.join(F.broadcast(ids), key, how) if ids.limit(rows + 1).count() <= rows else salted_join(df, ids, [key], how, 8)
 
 
 def local_path(uri: str) -> tuple[object, str]:

@@ -3,6 +3,9 @@
 Every round joins small rows only, writes its links to the shared folder and
 compares them with the last round's by number and hash; neither nodes nor links
 come to the driver.  Links end as stars around each component's least node.
+That node is the key of all of a large component's links; its least neighbour is
+aggregated before it is shuffled and joined back from a written table, so that
+adaptive execution splits the key.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     last = _print(now)
     while last[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("l"))
