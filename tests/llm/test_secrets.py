@@ -94,3 +94,41 @@ def test_sql_of_private_keys(spark, docs):
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     got = report(secret_spans(docs(*rows))).collect()
     assert sorted(tuple(r) for r in got) == sorted(con.execute(secrets_sql()).fetchall())
+
+
+def test_very_many_secrets_in_one_text(spark, docs):
+    """Time grows with the number of matches, not with its square."""
+    import time
+
+    text = "\n".join(f"{i:016x} é" for i in range(100_000))
+    mixed = " 👩 ".join(f"token=abcdef{i:012d}" if i % 3 else "f" * 40 for i in range(20_000))
+    rows = [(1, text), (2, mixed), (3, "x" * 5000 + " 0123456789abcdef " + "y" * 5000)]
+    began = time.monotonic()
+    found = secret_spans(docs(*rows))
+    got = {r.doc_id: r.spans for r in report(found).collect()}
+    clean = {r.doc_id: r.text for r in redacted(found).collect()}
+    assert time.monotonic() - began < 90
+    for d, t in rows:
+        assert got[d] == ",".join(f"{RULES[k].kind}:{a}:{b}" for a, k, b in spans(t))
+    assert clean[1] == "\n".join(["[SECRET] é"] * 100_000) and clean[3] == "x" * 5000 + " [SECRET] " + "y" * 5000
+    assert clean[2] == " 👩 ".join(["[SECRET]"] * 20_000)
+
+
+def by_hand(text):
+    out, reach = [], 0
+    for a, _, b in sorted(spans(text) + added(text)):
+        if a >= reach:
+            out.append(text[reach:a] + "[SECRET]")
+        reach = max(reach, b)
+    return "".join(out) + text[reach:]
+
+
+def test_overlapping_spans_and_clashing_columns(spark, docs):
+    r = random.Random(12)
+    texts = ["".join(r.choices([*PARTS, *ADDED, "pad " * 400], k=r.randrange(1, 20))) for _ in range(200)]
+    texts += ["token=AKIAABCDEFGHIJ1234", "secret: 0123456789abcdef0123 AKIA" + "A" * 20 + "=", "token='" + "ab" * 3000 + "'" + "é" * 1100]
+    assert sum(any(a < e for (_, _, e), (a, _, _) in zip(s, s[1:])) for s in (sorted(spans(t) + added(t)) for t in texts)) > 20
+    given = docs(*enumerate(texts)).selectExpr("doc_id", "text", "'a' AS _x", "'b' AS Spans", "'c' AS rules", "'d' AS _m0", "doc_id + 1 AS _reach")
+    out = redacted(secret_spans(given, name="_found"), name="_found")
+    assert out.columns == given.columns
+    assert {tuple(x) for x in out.collect()} == {(i, by_hand(t), "a", "b", "c", "d", i + 1) for i, t in enumerate(texts)}

@@ -15,7 +15,9 @@
 Defined cases: null text counts as empty and has no spans; rows with a null
 doc_id are candidates of every rule; rows that share a doc_id share candidates
 (more are verified, none is missed); repeated rows are returned as often as
-they occur; an empty table gives an empty result; further columns are ignored.
+they occur; an empty table gives an empty result; further columns are kept,
+whatever their names; a very long text, or one of very many secrets, is searched
+and redacted whole, in time that grows with its length and its matches.
 The span of a private key is the whole key, from its BEGIN through its END line,
 or through the base64 lines that follow if it has none.
 """
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -37,7 +40,7 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, staged, text_of
+from .common import free_prefix, join_ids, staged, text_of
 
 
 @dataclass(frozen=True)
@@ -78,8 +81,8 @@ RULES = BASE + ADDED
 APART = 16
 #: Documents of one segment of the index.
 SEGMENT = 50_000
-#: Elements that a prefix sum adds up one by one.
-BLOCK = 64
+#: Elements that a running value goes through one by one, and code points of a part of a text that is redacted.
+RUN, PART = 128, 1024
 
 Query = tuple  # ("all",), ("has", trigram), ("and", queries), ("or", queries)
 
@@ -188,7 +191,7 @@ def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
         .select("doc_id", F.posexplode("flags").alias("place", "held")).where("held")
         .select("doc_id", F.get(F.array(*[F.lit(t) for t in wanted]), F.col("place")).alias("trigram"))
         .groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(segments)).alias("segment"), "trigram")
-        .agg(F.collect_list("doc_id").alias("ids"))
+        .agg(F.collect_set("doc_id").alias("ids"))
     )
 
 
@@ -213,60 +216,66 @@ def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
     )
 
 
-def before(lengths: Column) -> Column:
-    """For each element the sum of those before it, block by block (a long list costs far less than its square)."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / F.lit(BLOCK)).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(lengths) - 1),
-        lambda i: total(F.slice(blocks, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)),
-    )
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each element of a column of long numbers what ``step`` makes of it and all before it, from 0 on.
+
+    Results are gathered in runs, so that adding one to a list copies a run or the list of runs, never all of them.
+    ``values`` should be a column, as it is taken apart once a run.
+    """
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(RUN)).cast("int")), lambda b: F.slice(values, b * RUN + 1, F.lit(RUN)))
 
+    def within(at: Column, run: Column) -> Column:
+        return F.aggregate(run, state(at, F.array().cast("array<bigint>")), lambda a, x: state(step(a["at"], x), F.concat(a["out"], F.array(step(a["at"], x)))))["out"]
 
-def total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+    zero = state(F.lit(0).cast("long"), F.array().cast("array<array<bigint>>"))
+    return F.flatten(F.aggregate(runs, zero, lambda a, run: state(F.aggregate(run, a["at"], step), F.concat(a["out"], F.array(within(a["at"], run)))))["out"])
 
 
-def verified(docs: DataFrame, cands: DataFrame, rules: tuple[Rule, ...], scan: set[int]) -> DataFrame:
+def verified(docs: DataFrame, cands: DataFrame, rules: tuple[Rule, ...], scan: set[int], name: str) -> DataFrame:
     """docs with spans: array of (start, rule, end), sorted; rules in ``scan`` search every text."""
-    out = join_ids(docs, cands, "left")
+    own = free_prefix(docs)
+    out = join_ids(docs, cands.withColumnRenamed("rules", f"{own}rules"), "left")
     for n, rule in enumerate(rules):
-        wanted = F.col("doc_id").isNull() | ((F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << n))) != 0)
+        wanted = F.col("doc_id").isNull() | ((F.coalesce(F.col(f"{own}rules"), F.lit(0)).bitwiseAND(F.lit(1 << n))) != 0)
         found = F.regexp_extract_all(text_of(), F.lit(rule.pattern), F.lit(0))
-        out = out.withColumn(f"_m{n}", found if n in scan else F.when(wanted, found).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(f"{own}m{n}", found if n in scan else F.when(wanted, found).otherwise(F.array().cast("array<string>")))
     for n, rule in enumerate(rules):
-        some = F.size(f"_m{n}") > 0
-        out = out.withColumn(f"_l{n}", F.when(some, F.transform(f"_m{n}", lambda m: F.length(m).cast("long"))))
-        out = out.withColumn(f"_g{n}", F.when(some, F.transform(F.split(text_of(), rule.pattern, -1), lambda g: F.length(g).cast("long"))))
+        some = F.size(f"{own}m{n}") > 0
+        out = out.withColumn(f"{own}l{n}", F.when(some, F.transform(f"{own}m{n}", lambda m: F.length(m).cast("long"))))
+        out = out.withColumn(f"{own}g{n}", F.when(some, F.transform(F.split(text_of(), rule.pattern, -1), lambda g: F.length(g).cast("long"))))
         if rule.group:
-            out = out.withColumn(f"_v{n}", F.when(some, F.transform(F.regexp_extract_all(text_of(), F.lit(rule.pattern), F.lit(rule.group)), lambda v: F.length(v))))
+            out = out.withColumn(f"{own}v{n}", F.when(some, F.transform(F.regexp_extract_all(text_of(), F.lit(rule.pattern), F.lit(rule.group)), lambda v: F.length(v).cast("long"))))
     for n in range(len(rules)):
-        ahead = F.zip_with(f"_g{n}", F.concat(F.array(F.lit(0).cast("long")), F.col(f"_l{n}")), lambda g, m: g + m)
-        out = out.withColumn(f"_a{n}", F.when(F.size(f"_m{n}") > 0, ahead))
+        # A match starts after the gaps up to it and the matches before it.
+        ahead = F.zip_with(f"{own}g{n}", F.concat(F.array(F.lit(0).cast("long")), F.col(f"{own}l{n}")), lambda g, m: g + m)
+        out = out.withColumn(f"{own}a{n}", F.when(F.size(f"{own}m{n}") > 0, ahead))
     spans = []
     for n, rule in enumerate(rules):
-        # A match starts after the gaps up to it and the matches before it.
-        starts = before(F.col(f"_a{n}"))
+        least, some = F.lit(rule.least), F.size(f"{own}m{n}") > 0
         kept = F.zip_with(
-            F.slice(F.zip_with(starts, F.col(f"_a{n}"), lambda s, a: s + a), F.lit(1), F.size(f"_m{n}")),
-            F.arrays_zip(F.col(f"_l{n}").alias("l"), (F.col(f"_v{n}") if rule.group else F.col(f"_l{n}")).cast("array<bigint>").alias("v")),
+            F.slice(running(F.col(f"{own}a{n}"), lambda a, x: a + x), F.lit(1), F.size(f"{own}m{n}")),
+            F.arrays_zip(F.col(f"{own}l{n}").alias("l"), F.col(f"{own}v{n}" if rule.group else f"{own}l{n}").alias("v")),
             lambda s, x: F.struct(s.alias("start"), F.lit(n).alias("rule"), (s + x["l"]).alias("end"), x["v"].alias("v")),
         )
-        least = F.lit(rule.least)
         kept = F.transform(F.filter(kept, lambda x: x["v"] >= least), lambda x: F.struct(x["start"], x["rule"], x["end"]))
-        spans.append(F.when(F.size(f"_m{n}") > 0, kept).otherwise(F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")))
-    return out.withColumn("spans", F.array_sort(F.concat(*spans))).select(*docs.columns, "spans")
+        spans.append(F.when(some, kept).otherwise(F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")))
+    return out.withColumn(f"{own}spans", F.array_sort(F.concat(*spans))).select(*docs.columns, F.col(f"{own}spans").alias(name))
+
 
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "spans") -> DataFrame:
+    """The documents with their spans of secrets as column ``name``: start, rule (its number) and end, sorted, in code points from 0.
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with their spans of secrets: start, rule (its number) and end, sorted, in code points from 0."""
+    A column that is called so already is replaced; ``free_name`` finds a name that none has.
+    """
     for r in rules:
         re.compile(r.pattern)
     queries = {n: trigram_query(r.pattern) for n, r in enumerate(rules)}
     scan = {n for n, q in queries.items() if q == ("all",)}
     wanted = sorted(set().union(*map(trigrams, queries.values())))
-    docs = docs.drop("spans", "rules")
+    docs = docs.drop(name)
     cands = candidates(staged(trigram_index(docs, wanted), "trigrams"), {n: q for n, q in queries.items() if n not in scan})
-    return verified(docs, staged(cands, "candidates"), rules, scan)
+    return verified(docs, staged(cands, "candidates"), rules, scan, name)
 
 
 def report(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
@@ -282,14 +291,27 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BA
     )
 
 
-def redacted(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span of a secret replaced by a mark; overlapping spans by one."""
-    reach = F.transform(F.sequence(F.lit(1), F.size("spans")), lambda i: F.array_max(F.slice(F.transform("spans", lambda s: s["end"]), F.lit(1), i)))
-    out = found.withColumn("_reach", F.when(F.size("spans") > 0, F.concat(F.array(F.lit(0).cast("long")), reach)))
-    gap = F.zip_with(
-        F.col("spans"), F.slice("_reach", F.lit(1), F.size("spans")),
-        lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(F.col("text"), (r + 1).cast("int"), (s["start"] - r).cast("int")), F.lit(mark))).otherwise(F.lit("")),
-    )
-    last = F.element_at("_reach", -1)
-    text = F.concat(F.array_join(gap, ""), F.substring(F.col("text"), (last + 1).cast("int"), F.length("text")))
-    return out.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).drop("_reach", "spans")
+def redacted(found: DataFrame, mark: str = "[SECRET]", name: str = "spans") -> DataFrame:
+    """The documents, without column ``name``, with every span of a secret replaced by a mark; overlapping spans by one.
+
+    A text with spans is cut into parts of equal length once, and what stands
+    between its spans is put together from these.
+    """
+    own = free_prefix(found)
+    ends, reach, parts = (f"{own}{c}" for c in ("ends", "reach", "parts"))
+    some = F.size(name) > 0
+    out = found.withColumn(ends, F.transform(name, lambda s: s["end"]))
+    out = out.withColumn(reach, F.when(some, F.concat(F.array(F.lit(0).cast("long")), running(F.col(ends), lambda a, x: F.greatest(a, x)))))
+    out = out.withColumn(parts, F.when(some, F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))))
+
+    def between(a: Column, b: Column) -> Column:
+        """The text from code point a to b."""
+        first, last = F.floor(a / PART).cast("int"), F.floor(b / PART).cast("int")
+        at, to = (a - first * PART + 1).cast("int"), (b - last * PART).cast("int")
+        part = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        several = F.concat(F.substring(part(first), at, F.lit(PART)), F.array_join(F.slice(parts, first + 2, last - first - 1), ""), F.substring(part(last), F.lit(1), to))
+        return F.when(first == last, F.substring(part(first), at, (b - a).cast("int"))).otherwise(several)
+
+    gaps = F.zip_with(F.col(name), F.slice(reach, F.lit(1), F.size(name)), lambda s, r: F.when(s["start"] >= r, F.concat(between(r, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+    text = F.concat(F.array_join(gaps, ""), between(F.element_at(reach, -1), F.length("text").cast("long")))
+    return out.withColumn("text", F.when(some, text).otherwise(F.col("text"))).select(*[c for c in found.columns if c != name])
