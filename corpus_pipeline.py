@@ -12,6 +12,13 @@ the columns of documents:
 
 A labelled document is only learned from where it is among the stage's own
 documents, and never if it is in the held-out fold.
+
+Defined cases: a null text is judged as an empty one, links with nothing, holds
+no secret and is taken 0 times by the mix, as every text without words; a row
+without a doc_id is never a near duplicate; different texts of one doc_id are
+documents each, unless they link; of equal texts of one doc_id one stays; ties
+go to the least doc_id; very long texts go through whole; an empty table gives an
+empty result; further columns, whatever their names, are kept up to the packing.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import fresh_path
+from vecloom.llm.common import free_name, fresh_path
 from vecloom.llm.jaccard import representatives
 from vecloom.llm.mixing import mixed
 from vecloom.llm.packing import best_fit_packing
@@ -37,13 +44,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least doc_id, of each group of near duplicates."""
+    """Keep one document, that of the least doc_id, of each group of texts that are near duplicates."""
     return representatives(docs, 5, 80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mark; n_chars follows the text."""
-    clean = redacted(secret_spans(docs))
+    spans = free_name(docs, "spans")
+    clean = redacted(secret_spans(docs, name=spans), name=spans)
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
