@@ -48,7 +48,7 @@ def test_recall(spark, kind):
 
 def test_copies_and_ties(spark, monkeypatch):
     """A third of all rows are one vector; blocks are small, so its list is cut up."""
-    monkeypatch.setattr(ann, "BLOCK", 50), monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "BLOCK", 50), monkeypatch.setattr(ann, "QUERIES", 7), monkeypatch.setattr(ann, "CELLS", 40)
     r = np.random.default_rng(5)
     x = r.normal(size=(900, 8))
     x[::3] = [3.0] * 8

@@ -8,14 +8,19 @@ asymmetric table (one inner product for each group and code, looked up for all
 vectors of the list), the best of each block are reranked exactly in double
 precision, and the best of all blocks are merged.
 
-How many lists to probe is measured, not guessed: on the sample, the fewest
-lists that find ``RECALL`` of the sampled queries' true neighbours.  Clustered
-vectors need few; vectors without structure need many.  A query whose lists hold
-too few vectors probes on until there are enough for k neighbours.
-
-Lists are cut into blocks of at most about ``BLOCK`` vectors and queries of a
-list into blocks of ``QUERIES``, so neither a list that holds a third of all
-vectors nor a list that most queries probe lands in one task.
+How many lists to probe, and how many vectors to rerank, is measured, not
+guessed: on the sample, over the whole path (probing, approximate distances,
+reranking), the fewest that find ``RECALL`` of the sampled queries' true
+neighbours.  Clustered vectors need few lists; vectors without structure need
+many.  A query whose lists hold too few vectors probes on until there are enough
+for k neighbours.
+
+Lists that lie near each other share a shard of at most about ``BLOCK`` vectors; a
+larger list is cut into several shards.  Each vector is sent to its shard once,
+each query to every shard that holds a list of its, once; the shard's task keeps
+the vectors and streams the queries past them.  Only where a shard has more than
+``QUERIES`` queries are its vectors sent several times, so a list that holds a
+third of all vectors, or that most queries probe, does not land in one task.
 
 Defined cases: vectors that are null, all zero, hold null or non-finite
 components or have another dimension than most take no part, nor do rows with a
@@ -41,9 +46,14 @@ SAMPLE, SAMPLE_NUMBERS = 32_768, 4_194_304
 LISTS = 4_096
 #: Dimensions that one byte stands for come from this many groups, at most.
 GROUPS = 32
-BLOCK, QUERIES = 4_096, 1_024
-#: Reranked for each neighbour wanted, of each block.
-RERANK = 3
+#: Vectors of a shard, and numbers in them, at most about; queries of a shard that one task answers.
+BLOCK, BLOCK_NUMBERS, QUERIES = 65_536, 4_194_304, 131_072
+#: Vectors that a shard should have at least, and shards that there should be, so that small tables use several tasks.
+SMALL, SHARDS = 4_096, 8
+#: Reranked for each neighbour wanted, of each shard: the least of these that is enough.
+RERANK = (3, 6, 12, 24)
+#: Distances that are worked out at a time.
+CELLS = 1 << 21
 RECALL = 0.97
 
 
@@ -54,6 +64,7 @@ class Index:
     centroids: np.ndarray  # lists by dimensions
     books: np.ndarray  # groups by codes by dimensions of a group
     probes: int
+    depth: int  # reranked
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         """The nearest centroid of each vector."""
@@ -75,6 +86,14 @@ class Index:
         """For each query, group and code the inner product."""
         return np.einsum("qgw,gcw->qgc", self.grouped(q), self.books)
 
+    def approximate(self, q: np.ndarray, tables: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The inner product of each query with each vector, as far as its list and codes tell: the same in any batch."""
+        own, place = np.unique(lists, return_inverse=True)
+        near = (q[:, None, :] * self.centroids[own][None]).sum(axis=2).astype(np.float32)[:, place]
+        for g in range(codes.shape[1]):
+            near += tables[:, g][:, codes[:, g]]
+        return near
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int, r: np.random.Generator) -> np.ndarray:
     centres = x[r.permutation(len(x))[:k]].copy()
@@ -93,23 +112,57 @@ def fit(x: np.ndarray, rows: int, k: int, recall: float = RECALL, seed: int = 11
     """An index for ``rows`` vectors, from a sample of them."""
     r = np.random.default_rng(seed)
     lists = int(np.clip(np.sqrt(rows), 1, max(1, min(LISTS, len(x) // 8))))
-    index = Index(kmeans(x, lists, 10, r), np.zeros((1, 1, x.shape[1])), lists)
+    index = Index(kmeans(x, lists, 10, r), np.zeros((1, 1, x.shape[1])), lists, RERANK[0] * k)
     own = index.lists(x)
     width = -(-x.shape[1] // GROUPS)
     index.books = np.zeros((-(-x.shape[1] // width), min(256, len(x)), width))
     rest = index.grouped(x - index.centroids[own])[: 1 << 13]
     index.books = np.stack([kmeans(rest[:, g], min(256, len(rest)), 8, r) for g in range(rest.shape[1])])
-    # The place of each true neighbour's list among the lists of its query.
+    # Over the whole path: the fewest lists, and the fewest vectors to rerank, that find enough true neighbours.
     q = x[: min(256, len(x))]
+    own_row = np.arange(len(q))
     exact = q @ x.T
-    exact[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    exact[own_row, own_row] = -np.inf
     best = np.argsort(-exact, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(-(q @ index.centroids.T), axis=1, kind="stable"), axis=1)
-    places = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
-    index.probes = int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1 if len(places) else lists
+    place = np.argsort(np.argsort(-(q @ index.centroids.T), axis=1, kind="stable"), axis=1).astype(np.int32)[:, own]
+    codes, tables = index.codes(x, own), index.tables(q).astype(np.float32)
+    near = np.concatenate([index.approximate(q, tables, own[i : i + 256], codes[i : i + 256]) for i in range(0, len(x), 256)], axis=1)
+    near[own_row, own_row] = -np.inf
+    wanted, at = np.take_along_axis(place, best, axis=1), np.take_along_axis(near, best, axis=1)
+
+    def found(probes: int, depth: int) -> float:
+        """The share of true neighbours whose list is probed and that come before the depth-th best of the probed lists."""
+        if not best.size:
+            return 1.0
+        seen = np.where(place < probes, near, -np.inf)
+        last = -np.partition(-seen, min(depth, len(x)) - 1, axis=1)[:, min(depth, len(x)) - 1]
+        return float(((wanted < probes) & (at >= last[:, None])).mean())
+
+    index.depth = next((m * k for m in RERANK if found(lists, m * k) >= (1 + recall) / 2), RERANK[-1] * k)
+    low, high = 1, lists
+    while low < high:  # found() rises with the lists, but for the few that a longer list pushes out
+        middle = (low + high) // 2
+        low, high = (low, middle) if found(middle, index.depth) >= recall else (middle + 1, high)
+    index.probes = low
     return index
 
 
+def dealt(index: Index, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first shard and the number of shards it is cut into; lists that share a shard lie near each other."""
+    most = max(1, min(BLOCK, BLOCK_NUMBERS // index.centroids.shape[1], max(SMALL, -(-n // SHARDS))))
+    groups = kmeans(index.centroids, int(np.clip(n // most, 1, len(counts))), 4, np.random.default_rng(5))
+    near = np.argmax(index.centroids @ groups.T - (groups**2).sum(axis=1) / 2, axis=1)
+    first, parts = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // most))
+    shard, held = 0, 0
+    for i in np.argsort(near, kind="stable").tolist():
+        if held and (parts[i] > 1 or held + counts[i] > most):
+            shard, held = shard + 1, 0
+        first[i], held = shard, held + int(counts[i])
+        if parts[i] > 1:
+            shard, held = shard + int(parts[i]), 0
+    return first, parts
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -144,54 +197,113 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = RE
     indexed = staged(rows.select("id", "vector").mapInArrow(assign, f"list int, id long, codes binary, vector {kind}"), "index")
     counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     held = np.array([counts.get(i, 0) for i in range(len(sent.value.centroids))])
+    shards = spark.sparkContext.broadcast(dealt(sent.value, held, n))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = matrix(b.column(1), b.num_rows)
-            order = np.argsort(-(q @ sent.value.centroids.T), axis=1, kind="stable")
-            # On beyond the usual number until there are k candidates besides the query's own rows.
-            least = np.minimum(k + np.maximum(b.column(2).to_numpy(), 1), held.sum())
-            enough = np.argmax(np.cumsum(held[order], axis=1) >= least[:, None], axis=1) + 1
-            many = np.maximum(enough, sent.value.probes)
-            row = np.repeat(np.arange(len(q)), many)
-            lists = np.concatenate([o[:m] for o, m in zip(order, many)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["list", "query_id", "vector"])
+        first, parts = shards.value
+        for batch in batches:
+            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                q = matrix(b.column(1), b.num_rows)
+                order = np.argsort(-(q @ sent.value.centroids.T), axis=1, kind="stable")
+                # On beyond the usual number until there are k candidates besides the query's own rows.
+                least = np.minimum(k + np.maximum(b.column(2).to_numpy(), 1), held.sum())
+                many = np.maximum(np.argmax(np.cumsum(held[order], axis=1) >= least[:, None], axis=1) + 1, sent.value.probes)
+                row, to, lists = [], [], []
+                for i, (own, m) in enumerate(zip(order, many)):
+                    own = np.sort(own[:m]).astype(np.int32)
+                    of = np.repeat(first[own], parts[own]) + np.concatenate([np.arange(p) for p in parts[own]])
+                    own = np.repeat(own, parts[own])
+                    for shard in np.unique(of).tolist():
+                        row.append(i)
+                        to.append(shard)
+                        lists.append(own[of == shard].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(pa.array(row)), pa.array(lists, pa.binary()), b.column(1).take(pa.array(row))], ["shard", "id", "lists", "vector"])
 
     own_rows = indexed.groupBy("id").agg(F.count("*").alias("own"))
     asking = queries.select("id", "vector").join(own_rows, "id", "left").select("id", "vector", F.coalesce("own", F.lit(0)).alias("own"))
-    probed = staged(asking.mapInArrow(probe, f"list int, query_id long, vector {kind}"), "probes")
-    asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
-    parts = lambda of, size: F.get(F.array(*[F.lit(max(1, -(-of.get(i, 0) // size))) for i in range(len(held))]), F.col("list"))
-    left = indexed.withColumn("rows", F.pmod(F.xxhash64("id", F.col("vector")), parts(counts, BLOCK)).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), parts(asked, QUERIES) - 1)))
-    right = probed.withColumn("ask", F.pmod(F.xxhash64("query_id"), parts(asked, QUERIES)).cast("int")).withColumn("rows", F.explode(F.sequence(F.lit(0), parts(counts, BLOCK) - 1)))
-
-    def search(of: pa.Table, asks: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if of.num_rows and asks.num_rows:
-            index, of = sent.value, of.sort_by("id")
-            ids, x = of["id"].to_numpy(), matrix(of["vector"], of.num_rows)
-            codes = np.frombuffer(b"".join(of["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            centroid, depth = index.centroids[of["list"][0].as_py()], min(len(ids), RERANK * k + 1)
-            asking, vectors = asks["query_id"].to_numpy(), matrix(asks["vector"], asks.num_rows)
-            for first in range(0, len(asking), 64):
-                q, own = vectors[first : first + 64], asking[first : first + 64]
-                tables = index.tables(q).astype(np.float32)
-                near = np.repeat((q @ centroid).astype(np.float32)[:, None], len(ids), axis=1)
-                for g in range(codes.shape[1]):
-                    near += tables[:, g][:, codes[:, g]]
-                near[own[:, None] == ids[None, :]] = -np.inf
-                short = np.argsort(-near, axis=1, kind="stable")[:, :depth]
-                exact = np.einsum("qrd,qd->qr", x[short], q)
-                # The query's own rows come last, so they take none of the k places.
-                order = np.lexsort((ids[short], -exact, ids[short] == own[:, None]))[:, :k]
-                short, exact = np.take_along_axis(short, order, axis=1), np.take_along_axis(exact, order, axis=1)
-                other = ids[short] != own[:, None]
-                out["query_id"].append(np.repeat(own, other.sum(axis=1)))
-                out["vec_id"].append(ids[short][other])
-                out["score"].append(exact[other])
-        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0), t) for (c, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()))})
-
-    keys = ["list", "rows", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    probed = staged(asking.mapInArrow(probe, f"shard long, id long, lists binary, vector {kind}"), "probes")
+    # Shards that more queries probe than one task should answer: their number is bounded by that of all probes.
+    asked = staged(probed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > QUERIES).select("shard", F.ceil(F.col("n") / F.lit(QUERIES)).cast("int").alias("asks")), "asked")
+    first, parts = (F.get(F.array(*[F.lit(int(v)) for v in x]), F.col("list")) for x in shards.value)
+    of = indexed.withColumn("shard", (first + F.pmod(F.xxhash64("id", F.col("vector")), parts)).cast("long")).join(asked, "shard", "left")
+    of = of.withColumn("ask", F.explode(F.sequence(F.lit(0), F.coalesce("asks", F.lit(1)) - 1)))
+    asks = probed.join(asked, "shard", "left").withColumn("ask", F.pmod(F.xxhash64("id"), F.coalesce("asks", F.lit(1))).cast("int"))
+    none = lambda t: F.lit(None).cast(t)
+    both = of.select("shard", "ask", F.lit(0).alias("query"), "list", "id", "codes", none("binary").alias("lists"), "vector")
+    both = both.unionByName(asks.select("shard", "ask", F.lit(1).alias("query"), none("int").alias("list"), "id", none("binary").alias("codes"), "lists", "vector"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shards.value[1].sum()))
+    cells = both.repartition(tasks, "shard", "ask").sortWithinPartitions("shard", "ask", "query", "list", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Shard(sent.value, k)
+        for batch in batches:
+            key = [batch.column(i).to_numpy() for i in range(3)]
+            cut = np.flatnonzero(np.concatenate([[True], *[np.any([x[1:] != x[:-1] for x in key], axis=0)]])) if batch.num_rows else np.zeros(0, np.int64)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows]):
+                part = batch.slice(a, b - a)
+                held.turn(int(key[0][a]), int(key[1][a]))
+                if key[2][a] == 0:
+                    held.add(part)
+                else:
+                    yield from held.answer(part)
+
+    found = cells.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+class Shard:
+    """The vectors of one shard, which its queries stream past: memory is bounded by the shard."""
+
+    def __init__(self, index: Index, k: int):
+        self.index, self.k, self.key, self.parts, self.rows = index, k, None, [], None
+
+    def turn(self, shard: int, ask: int) -> None:
+        """To the next shard, if it is another one."""
+        if self.key != (shard, ask):
+            self.key, self.parts, self.rows = (shard, ask), [], None
+
+    def add(self, part: pa.RecordBatch) -> None:
+        codes = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+        self.parts.append((part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy(), codes, matrix(part.column(7), part.num_rows)))
+
+    def answer(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.rows is None:
+            if not self.parts:
+                return
+            self.rows = [np.concatenate(x) for x in zip(*self.parts)]
+            self.parts = []
+            lists = self.rows[0]
+            self.first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+        for a in range(0, part.num_rows, 64):
+            some = part.slice(a, 64)
+            yield self._nearest(some.column(4).to_numpy(), matrix(some.column(7), some.num_rows), [np.frombuffer(x, np.int32) for x in some.column(6).to_pylist()])
+
+    def _nearest(self, asking: np.ndarray, q: np.ndarray, probes: list[np.ndarray]) -> pa.RecordBatch:
+        (lists, ids, codes, x), k = self.rows, self.k
+        depth = min(len(ids), self.index.depth)
+        tables = self.index.tables(q).astype(np.float32)
+        # The best so far of each query, as numbers that ascend with the approximate nearness, then with the row.
+        nothing = np.iinfo(np.int64).max
+        best = np.full((len(q), depth), nothing)
+        of = np.zeros((len(q), len(self.index.centroids)), bool)
+        for i, own in enumerate(probes):
+            of[i, own] = True
+        for a, b in zip(self.first.tolist(), [*self.first[1:].tolist(), len(ids)]):
+            who = np.flatnonzero(of[:, lists[a]])
+            step = max(1, CELLS // max(1, len(who)))
+            for c in range(a, b, step) if len(who) else ():
+                d = min(b, c + step)
+                near = self.index.approximate(q[who], tables[who], lists[c:d], codes[c:d])
+                bits = near.view(np.int32).astype(np.int64)
+                bits = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
+                code = (-bits << 32) + np.arange(c, d)
+                code[asking[who][:, None] == ids[None, c:d]] = nothing  # a query's own rows take no part
+                code = np.concatenate([best[who], code], axis=1)
+                best[who] = np.partition(code, depth - 1, axis=1)[:, :depth] if depth < code.shape[1] else code
+        real = best != nothing
+        row = np.where(real, best & 0xFFFFFFFF, 0)
+        exact = np.where(real, np.einsum("qrd,qd->qr", x[row], q), -np.inf)
+        order = np.lexsort((ids[row], -exact, ~real))[:, :k]
+        row, exact, real = (np.take_along_axis(v, order, axis=1) for v in (row, exact, real))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, real.sum(axis=1))), pa.array(ids[row][real]), pa.array(exact[real])], ["query_id", "vec_id", "score"])
