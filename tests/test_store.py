@@ -160,3 +160,54 @@ def test_options():
     for wrong in (("", IndexType.ORDERED, ("a",)), ("x", IndexType.ORDERED, ("a", "b")), ("x", IndexType.ORDERED, ()), ("x", IndexType.COMPOSITE_ORDERED, ("a", " "))):
         with pytest.raises(ValueError):
             IndexDefinition(*wrong)
+
+
+def test_readers_outlive_checkpoints(spark, path):
+    db = open_(spark, path)
+    c = db.get_or_create_scalar("s")
+    c.insert_scalar_batch([ScalarRecord({"n": i}) for i in range(10)])
+    before = c.df()
+    db.checkpoint()
+    held = c.df()
+    assert c.delete_batch([1, 2, 3]) == 3
+    less = c.df()
+    db.checkpoint()
+    assert [x.count() for x in (before, held, less, c.df())] == [10, 10, 7, 7]
+    assert db.delete("s") and less.count() == 7 and db.get_or_create_scalar("s").count == 0
+    now = Database(spark, path, Options(checkpoint_interval=None, retention=0.0))
+    now.checkpoint()
+    assert now._catalog["retired"] == []
+    with pytest.raises(Exception):
+        less.count()
+
+
+def test_checkpoints_rewrite_only_where_it_is_worth_it(spark, path, monkeypatch):
+    from vecloom.sources import store
+
+    monkeypatch.setattr(store, "LOGGED", 3)
+    db = open_(spark, path)
+    c = db.get_or_create_scalar("s")
+    c.insert_scalar_batch([ScalarRecord({"n": i}) for i in range(100)])
+    db.checkpoint()
+    first = db._catalog["collections"]["s"]["snapshot"]
+    for i in range(4):
+        c.insert_scalar(ScalarRecord({"n": 1000 + i}))
+    c.delete_batch([1, 101])
+    db.checkpoint()
+    state = db._catalog["collections"]["s"]
+    assert state["snapshot"] == first and len(state["log"]) == 2 and c.count == 102
+    assert sorted(r.id for r in open_(spark, path).get("s").df().collect()) == [i for i in range(1, 105) if i not in (1, 101)]
+    c.delete_batch(range(2, 40))
+    db.checkpoint()
+    state = db._catalog["collections"]["s"]
+    assert state["snapshot"] != first and state["log"] == [] and c.count == 64 == state["rows"]
+
+
+def test_upsert_batch(spark, path):
+    c = open_(spark, path).get_or_create("v", 1)
+    c.insert_batch([VectorRecord([i], {"k": f"k{i % 3}", "n": i}) for i in range(6)])
+    assert c.upsert_batch([VectorRecord([9], {"k": "k1", "n": 8}), VectorRecord([9], {"k": "k7", "n": 9}), VectorRecord([9], {"k": "k1", "n": 10})], "k") == [7, 8]
+    assert sorted((r.metadata.k, r.metadata.n) for r in c.df().collect()) == [("k0", 0), ("k0", 3), ("k1", 10), ("k2", 2), ("k2", 5), ("k7", 9)]
+    with pytest.raises(ValueError):
+        c.upsert_batch([VectorRecord([1], {"n": 1})], "k")
+    assert c.delete_values("k", ["k0", "none"]) == 2 and c.delete_values("other", [1]) == 0

@@ -38,16 +38,19 @@ class MemoryStore:
         self._db.delete(name)
 
     def upsert(self, name: str, memory: Memory) -> str:
-        dimensions = len(memory.embedding) or DEFAULT_DIMENSIONS
-        collection = self._db.get(name) or self._db.get_or_create(name, dimensions)
-        vector = memory.embedding if len(memory.embedding) else [0.0] * collection.dimensions
-        metadata = {KEY: memory.key} | ({ADDITIONAL: memory.additional} if memory.additional else {})
-        collection.upsert(VectorRecord(vector, metadata, memory.text), KEY)
-        return memory.key
+        return next(self.upsert_batch(name, [memory]))
 
     def upsert_batch(self, name: str, memories: Iterable[Memory]) -> Iterator[str]:
-        for memory in memories:
-            yield self.upsert(name, memory)
+        """All in one commit and one scan; of memories with one key the last stays."""
+        given = list(memories)
+        if not given:
+            return iter(())
+        dimensions = next((len(m.embedding) for m in given if len(m.embedding)), DEFAULT_DIMENSIONS)
+        collection = self._db.get(name) or self._db.get_or_create(name, dimensions)
+        empty = [0.0] * collection.dimensions
+        rows = [VectorRecord(m.embedding if len(m.embedding) else empty, {KEY: m.key} | ({ADDITIONAL: m.additional} if m.additional else {}), m.text) for m in given]
+        collection.upsert_batch(rows, KEY)
+        return iter([m.key for m in given])
 
     def _memory(self, row, embedding: bool) -> Memory:
         metadata = row["metadata"].asDict() if row["metadata"] is not None else {}
@@ -73,7 +76,7 @@ class MemoryStore:
     def remove_batch(self, name: str, keys: Iterable[str]) -> None:
         collection = self._db.get(name)
         if collection is not None:
-            collection.delete_batch([i for k in keys for i in collection.find_ids(KEY, k)])
+            collection.delete_values(KEY, keys)
 
     def nearest_matches(self, name: str, embedding: Sequence[float], limit: int, min_relevance: float = 0.0, with_embeddings: bool = False) -> list[tuple[Memory, float]]:
         collection: Collection | None = self._db.get(name)

@@ -57,10 +57,12 @@ def upserted(df: DataFrame, new: DataFrame, key: str, next_id: int, struct: str
     """Apply new rows (pos, then the columns of df but id) in order: each replaces the records of its key.
 
     Of rows with one key the last wins; every row uses up an id, as one by one.
+    A new row without a key is refused: the query fails when it meets one.
     """
     at = lambda name: F.col(f"{struct}.`{name}`") if struct else F.col(f"`{name}`")
     number = F.row_number().over(Window.partitionBy(at(key)).orderBy(F.desc("pos")))
-    last = new.withColumn("_upsert_n", number).where("_upsert_n = 1")
+    keyed = F.when(at(key).isNull(), F.raise_error(F.lit(f"a new row has no {key}"))).otherwise(F.lit(True))
+    last = new.where(keyed).withColumn("_upsert_n", number).where("_upsert_n = 1")
     keys = last.select(at(key).alias("_upsert_key")).distinct()
     kept = df.withColumn("_upsert_key", at(key)).join(keys, "_upsert_key", "left_anti").drop("_upsert_key")
     fresh = last.withColumn("id", F.col("pos").cast("long") + next_id).select(*df.columns)

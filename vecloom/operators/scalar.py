@@ -57,8 +57,9 @@ class ScalarQuery:
         self._order.append((field, Direction(direction)))
         return self
 
-    def top_k(self, k: int) -> ScalarQuery:
-        if k < 1:
+    def top_k(self, k: int | None) -> ScalarQuery:
+        """The first k; None for all, which are sorted only if an order is asked for."""
+        if k is not None and k < 1:
             raise ValueError("k must be 1 at least")
         self._k = k
         return self
@@ -86,7 +87,9 @@ class ScalarQuery:
     def sort_keys(self) -> list:
         return sort_keys(Fields(self._df, self._struct), self._order)
 
-    def _taken(self, k: int) -> DataFrame:
+    def _taken(self, k: int | None) -> DataFrame:
+        if k is None:
+            return self.rows().orderBy(*self.sort_keys()) if self._order else self.rows()
         return self.rows().orderBy(*self.sort_keys()).limit(k)
 
     def to_df(self) -> DataFrame:
@@ -100,6 +103,8 @@ class ScalarQuery:
         fields = Fields(self._df, self._struct)
         keys = [(fields.column(f) if fields.column(f) is not None else F.lit(None)).alias(f"_k{i}") for i, (f, _) in enumerate(self._order)]
         wanted = projected(self._df, self._projection, self._struct).columns
+        if self._k is None:
+            raise ValueError("a page needs a size: top_k")
         got = self._taken(self._k + 1).select(*wanted, F.struct(F.col("id").alias("_id"), *keys).alias("_key")).collect()
         kept = got[: self._k]
         cursor = None

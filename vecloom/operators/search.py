@@ -60,52 +60,65 @@ class VectorQuery:
         return self.to_df().orderBy("distance", "id").collect()
 
 
-#: Queries that are sent to every task at once, and numbers in them, at most.
+#: Queries that are sent to every task at once, and numbers in them, at most; the same for a tile of rows.
 QUERIES, NUMBERS = 4_096, 4_194_304
 
 
+def best_of(metric: Metric, asking: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of some rows for each of some queries, by matrix products."""
+    if x.shape[1] != q.shape[1]:
+        raise DimensionMismatch(q.shape[1], x.shape[1])
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    for first in range(0, len(q), 256):
+        d = distances(metric, q[first : first + 256], x)
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asking[first : first + 256], best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(d, best, axis=1).ravel())], ["query_id", "id", "distance"])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: Metric = Metric.COSINE) -> DataFrame:
     """The k nearest rows (id, vector) of every query (query_id, vector): query_id, id, distance, rank.
 
-    Queries go out in blocks of bounded size; each Arrow batch of rows is held
-    against a block by matrix product and keeps its k best, so what is shuffled
-    is k rows a query and batch.
+    Queries are counted.  As many as make one block go to every task, which
+    reads its rows in place.  More of them never come to the driver: rows and
+    queries are dealt to tiles of bounded size, each worked out by one task.
+    What is shuffled on is k rows a query and batch, or tile.
     """
+    found_ = "query_id long, id long, distance double"
     spark = rows.sparkSession
-    asked = queries.select("query_id", "vector").where("vector IS NOT NULL").orderBy("query_id").toLocalIterator(prefetchPartitions=True)
-    blocks, ids, vectors = [], [], []
-    for row in asked:
-        ids.append(row["query_id"])
-        vectors.append(row["vector"])
-        if len(ids) >= QUERIES or len(ids) * len(vectors[0]) >= NUMBERS:
-            blocks.append((ids, vectors))
-            ids, vectors = [], []
-    if ids:
-        blocks.append((ids, vectors))
-    out = None
-    for own, q in blocks:
-        sent = spark.sparkContext.broadcast((np.array(own, dtype=np.int64), np.array(q, dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            asking, q = sent.value
+    rows = rows.select(F.col("id").cast("long").alias("id"), "vector").where("id IS NOT NULL AND vector IS NOT NULL")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector IS NOT NULL")
+    known = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if not known["n"]:
+        return spark.createDataFrame([], f"{found_}, rank int")
+    block = max(1, min(QUERIES, NUMBERS // max(1, known["d"])))
+    if known["n"] <= block:
+        few = asked.toArrow().sort_by("query_id")
+        sent = spark.sparkContext.broadcast((few["query_id"].to_numpy(), _matrix(few["vector"], few.num_rows)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows == 0:
-                    continue
-                id_, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                if x.shape[1] != q.shape[1]:
-                    raise DimensionMismatch(q.shape[1], x.shape[1])
-                order = np.argsort(id_, kind="stable")
-                id_, x = id_[order], x[order]
-                for first in range(0, len(q), 256):
-                    d = distances(metric, q[first : first + 256], x)
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(asking[first : first + 256], best.shape[1])), pa.array(id_[best].ravel()), pa.array(np.take_along_axis(d, best, axis=1).ravel())], ["query_id", "id", "distance"]
-                    )
-
-        part = rows.select(F.col("id").cast("long"), "vector").where("id IS NOT NULL AND vector IS NOT NULL").mapInArrow(run, "query_id long, id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
+                if b.num_rows:
+                    yield from best_of(metric, *sent.value, b.column(0).to_numpy(), _matrix(b.column(1), b.num_rows), k)
+
+        out = rows.mapInArrow(run, found_)
+    else:
+        width = max(1, NUMBERS // max(1, known["d"]))
+        across, down = -(-known["n"] // block), -(-rows.count() // width) or 1
+        left = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(down))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+        right = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(across))).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+
+        def tile(of: pa.Table, asks: pa.Table) -> pa.Table:
+            parts = []
+            if of.num_rows and asks.num_rows:
+                parts = list(best_of(metric, asks["query_id"].to_numpy(), _matrix(asks["vector"], asks.num_rows), of["id"].to_numpy(), _matrix(of["vector"], of.num_rows), k))
+            return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]))
+
+        out = left.groupBy("_r", "_q").cogroup(right.groupBy("_r", "_q")).applyInArrow(tile, found_)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)

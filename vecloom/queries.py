@@ -158,7 +158,7 @@ _filter(
 def _project(name: str, projection: Projection, columns: list[str], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = docs_vec(spark, d)
-        out = ScalarQuery(df).top_k(2**31 - 1).select(projection).to_df()
+        out = ScalarQuery(df).top_k(None).select(projection).to_df()
         return out.selectExpr(*columns)
 
     QUERIES[name] = run

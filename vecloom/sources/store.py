@@ -9,6 +9,13 @@ that no catalog names are not read, so a change that broke off leaves no trace.
 Opening a database reads the catalog: snapshot and log together are the current
 state, whether or not there was a checkpoint.
 
+Reads are lazy, so a folder that a checkpoint or a deletion replaces is only
+marked as retired; it is deleted when it has been so for ``Options.retention``
+seconds.  A DataFrame that was made before gives the same rows until then.  A
+checkpoint rewrites a collection only when that is worth it: when too many of
+its records are deleted, or its log has grown to half of its snapshot.  Else a
+long log is put together as one change, without touching the snapshot.
+
 Ids are never used twice, so a deletion in the log beats any insertion.
 """
 
@@ -17,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 import threading
+import time
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -32,6 +40,8 @@ from ..operators.search import VectorQuery
 from ..types import CollectionError, CorruptedFile, DimensionMismatch, IndexDefinition, IndexType, Metric, Mode, Options, Projection
 from .files import Files
 
+#: Changes of a log that stay apart.
+LOGGED = 64
 SCALARS = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
 
 
@@ -176,14 +186,14 @@ class Collection:
             rows.append((first + i, *([[float(x) for x in r.vector]] if vectors else []), metadata, r.text or None))
         return rows, schema
 
-    def _insert(self, given: Sequence[VectorRecord | ScalarRecord], gone: Sequence[int] = ()) -> list[int]:
+    def _insert(self, given: Sequence[VectorRecord | ScalarRecord], gone: DataFrame | None = None) -> list[int]:
         with self._db._lock:
             first = self._state["next_id"]
             rows, schema = self._rows(given, first)
             df = self._db.spark.createDataFrame(rows, row_schema(self.mode, schema))
-            log = [self._db._logged(self.name, "insert", df)] if rows else []
-            if gone:
-                log.append(self._db._logged(self.name, "delete", self._db.spark.createDataFrame([(i,) for i in gone], "id long")))
+            log = [self._db._logged(self.name, "insert", df, len(rows))] if rows else []
+            if gone is not None and (entry := self._deleted(gone)):
+                log.append(entry)
             self._db._commit(self.name, next_id=first + len(rows), metadata=schema.jsonValue(), log=[*self._state["log"], *log])
             return list(range(first, first + len(rows)))
 
@@ -232,19 +242,51 @@ class Collection:
             text = F.nullif("text", F.lit("")) if "text" in raw.columns else F.lit(None).cast("string")
             rows = records.dense(raw, first).select("id", *([F.col("vector").cast("array<float>").alias("vector")] if self.mode is Mode.VECTOR else []), struct.alias("metadata"), text.alias("text"))
             n = raw.count()
-            logged = self._db._logged(self.name, "insert", rows)
+            logged = self._db._logged(self.name, "insert", rows, n)
             self._db._commit(self.name, next_id=first + n, metadata=schema.jsonValue(), log=[*self._state["log"], logged], **also)
         self._db._files.delete(self._db._at(staged))
         return first, first + n
 
     def upsert(self, record: VectorRecord | ScalarRecord, key_field: str) -> int:
         """Insert, and delete the records that have the same value of ``key_field``, in one commit."""
-        value = (record.metadata or {}).get(key_field)
-        if value is None:
-            raise ValueError(f"the record's metadata has no {key_field}")
-        self._need(Mode.VECTOR if isinstance(record, VectorRecord) else Mode.SCALAR_ONLY)
+        return self.upsert_batch([record], key_field)[0]
+
+    def upsert_batch(self, given: Iterable[VectorRecord | ScalarRecord], key_field: str) -> list[int]:
+        """Upsert records in order, in one commit and one scan; of those with one value the last stays. Ids of those that stay."""
+        last: dict[Any, VectorRecord | ScalarRecord] = {}
+        for record in given:
+            value = (record.metadata or {}).get(key_field)
+            if value is None:
+                raise ValueError(f"the record's metadata has no {key_field}")
+            self._need(Mode.VECTOR if isinstance(record, VectorRecord) else Mode.SCALAR_ONLY)
+            last.pop((type(value), value), None)
+            last[type(value), value] = record
         with self._db._lock:
-            return self._insert([record], self.find_ids(key_field, value))[0]
+            return self._insert(list(last.values()), self._with_values(key_field, [v for _, v in last])) if last else []
+
+    def _with_values(self, field: str, values: Sequence[Any]) -> DataFrame | None:
+        """The ids of records whose field has one of some values, of its own kind."""
+        kind = next((f.dataType for f in self.metadata_schema.fields if f.name == field), None)
+        own = [(v,) for v in values if kind is not None and SCALARS.get(type(v), T.StringType()) == kind]
+        if not own:
+            return None
+        asked = self._db.spark.createDataFrame(own, T.StructType([T.StructField("_value", kind)])).distinct()
+        df = self.df()
+        return df.join(asked, F.col(f"metadata.`{field}`") == F.col("_value"), "left_semi").select("id")
+
+    def delete_values(self, field: str, values: Iterable[Any]) -> int:
+        """Delete the records whose field has one of some values, in one scan; how many went."""
+        found = self._with_values(field, list(values))
+        return 0 if found is None else self.delete_df(found)
+
+    def _deleted(self, gone: DataFrame) -> dict | None:
+        """A logged deletion of ids that are there, not committed yet; None if there are none."""
+        logged = self._db._logged(self.name, "delete", gone, 0)
+        logged["rows"] = self._db.spark.read.schema("id long").parquet(self._db._at(logged["path"])).count()
+        if logged["rows"]:
+            return logged
+        self._db._files.delete(self._db._at(logged["path"]))
+        return None
 
     def delete(self, record_id: int) -> bool:
         return self.delete_batch([record_id]) == 1
@@ -256,14 +298,10 @@ class Collection:
 
     def delete_df(self, ids: DataFrame) -> int:
         with self._db._lock:
-            gone = self.df().select("id").join(ids.select(F.col("id").cast("long")), "id", "left_semi")
-            logged = self._db._logged(self.name, "delete", gone)
-            n = self._db.spark.read.schema("id long").parquet(self._db._at(logged["path"])).count()
-            if n:
+            logged = self._deleted(self.df().select("id").join(ids.select(F.col("id").cast("long")), "id", "left_semi"))
+            if logged:
                 self._db._commit(self.name, log=[*self._state["log"], logged])
-            else:
-                self._db._files.delete(self._db._at(logged["path"]))
-            return n
+            return logged["rows"] if logged else 0
 
     # --- declared orders
 
@@ -280,7 +318,8 @@ class Collection:
 
 
 class Database:
-    """Collections below a path that all executors reach. One writer at a time commits; readers need no lock."""
+    """Collections below a path that all executors reach. One writer at a time commits; readers need no lock, as what
+    they read stays for the time of retention."""
 
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
@@ -325,10 +364,23 @@ class Database:
         for old in self._files.names(f"{self.path}/catalog")[:-8]:  # a few remain for readers that are opening
             self._files.delete(f"{self.path}/catalog/{old}")
 
-    def _commit(self, name: str, **changes: Any) -> None:
+    def _commit(self, name: str, retired: Sequence[str] = (), **changes: Any) -> None:
         collections = dict(self._catalog["collections"])
         collections[name] = {**collections[name], **changes}
-        self._write_catalog({"collections": collections})
+        self._write_catalog({"collections": collections, "retired": self._retired(retired)})
+
+    def _retired(self, paths: Sequence[str] = ()) -> list[dict]:
+        """Folders that are no longer part of the state, and since when."""
+        return [*self._catalog.get("retired", []), *({"path": p, "at": time.time()} for p in paths)]
+
+    def _expire(self) -> None:
+        """Delete what has been retired for long enough."""
+        known = self._retired()
+        old = [x for x in known if x["at"] <= time.time() - self.options.retention]
+        if old:
+            self._write_catalog({**self._catalog, "retired": [x for x in known if x not in old]})
+            for x in old:
+                self._files.delete(self._at(x["path"]))
 
     def _written(self, name: str, df: DataFrame) -> str:
         relative = f"{self._catalog['collections'][name]['folder']}/{uuid.uuid4().hex}"
@@ -337,8 +389,8 @@ class Database:
         df.write.parquet(self._at(relative))
         return relative
 
-    def _logged(self, name: str, op: str, df: DataFrame) -> dict:
-        return {"op": op, "path": self._written(name, df), "seq": self._version + 1}
+    def _logged(self, name: str, op: str, df: DataFrame, rows: int) -> dict:
+        return {"op": op, "path": self._written(name, df), "seq": self._version + 1, "rows": rows}
 
     # --- collections
 
@@ -354,7 +406,7 @@ class Database:
                     "mode": mode.value, "dimensions": dimensions, "metric": self.options.metric.value, "next_id": 1, "snapshot": None, "log": [], "indexes": [],
                     "metadata": T.StructType([]).jsonValue(), "folder": uuid.uuid4().hex,
                 }
-                self._write_catalog({"collections": {**self._catalog["collections"], name: state}})
+                self._write_catalog({**self._catalog, "collections": {**self._catalog["collections"], name: state}})
             elif known["mode"] != mode.value or known["dimensions"] != dimensions:
                 raise CollectionError(name, f"it is there with mode {known['mode']} and {known['dimensions']} dimensions")
             return Collection(self, name)
@@ -382,27 +434,49 @@ class Database:
             if not self.exists(name):
                 return False
             folder = self._catalog["collections"][name]["folder"]
-            self._write_catalog({"collections": {k: v for k, v in self._catalog["collections"].items() if k != name}})
-            self._files.delete(self._at(folder))
+            self._write_catalog({"collections": {k: v for k, v in self._catalog["collections"].items() if k != name}, "retired": self._retired([folder])})
+            self._expire()
             return True
 
     # --- durability
 
     def checkpoint(self) -> None:
-        """Write every changed collection as a new snapshot, without its deleted records, and empty its log."""
+        """Write collections anew as snapshots, without their deleted records, where that is worth it (see above); delete what has been retired long enough."""
         with self._lock:
             for name, state in list(self._catalog["collections"].items()):
                 if not state["log"]:
                     continue
-                df = Collection(self, name).df()
-                fields = {f["name"] for f in state["metadata"]["fields"]}
-                order = next((x["fields"][0] for x in state["indexes"] if x["type"] == IndexType.ORDERED.value and x["fields"][0] in fields), None)
-                if order is not None:
-                    df = df.repartitionByRange(F.col(f"metadata.`{order}`"), "id").sortWithinPartitions(F.col(f"metadata.`{order}`"), "id")
-                old = [x["path"] for x in state["log"]] + ([state["snapshot"]] if state["snapshot"] else [])
-                self._commit(name, snapshot=self._written(name, df), log=[])
-                for path in old:
-                    self._files.delete(self._at(path))
+                held = state.get("rows", 0) if state["snapshot"] else 0
+                added, gone = (sum(x.get("rows", 0) for x in state["log"] if x["op"] == op) for op in ("insert", "delete"))
+                if not state["snapshot"] or 2 * added >= held or gone > self.options.compaction * (held + added):
+                    self._rewrite(name, state, held + added - gone)
+                elif len(state["log"]) > LOGGED:
+                    self._fold(name, state)
+            self._expire()
+
+    def _rewrite(self, name: str, state: dict, rows: int) -> None:
+        df = Collection(self, name).df()
+        fields = {f["name"] for f in state["metadata"]["fields"]}
+        order = next((x["fields"] for x in state["indexes"] if x["fields"][0] in fields), None)
+        if order is not None:
+            keys = [*[F.col(f"metadata.`{f}`") for f in order if f in fields], F.col("id")]
+            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        old = [x["path"] for x in state["log"]] + ([state["snapshot"]] if state["snapshot"] else [])
+        self._commit(name, old, snapshot=self._written(name, df), log=[], rows=rows)
+
+    def _fold(self, name: str, state: dict) -> None:
+        """All changes of a log as one insertion and one deletion, under the number of the last one."""
+        collection = Collection(self, name)
+        paths = {op: [x["path"] for x in state["log"] if x["op"] == op] for op in ("insert", "delete")}
+        gone = self.spark.read.schema("id long").parquet(*map(self._at, paths["delete"])) if paths["delete"] else None
+        log, last = [], state["log"][-1]["seq"]
+        if paths["insert"]:
+            stored = T.StructType([f for f in row_schema(collection.mode, collection.metadata_schema).fields if f.name != "metadata" or len(f.dataType.fields)])
+            rows = self.spark.read.schema(stored).parquet(*map(self._at, paths["insert"]))
+            log.append({**self._logged(name, "insert", rows if gone is None else records.deleted(rows, gone), sum(x.get("rows", 0) for x in state["log"] if x["op"] == "insert")), "seq": last})
+        if gone is not None:
+            log.append({**self._logged(name, "delete", gone.distinct(), sum(x.get("rows", 0) for x in state["log"] if x["op"] == "delete")), "seq": last})
+        self._commit(name, paths["insert"] + paths["delete"], log=log)
 
     def refresh(self) -> None:
         """See what other writers have committed."""

@@ -29,7 +29,10 @@ def ingest(stream: DataFrame, collection: Collection, checkpoint: str, name: str
 
 
 def changes(collection: Collection, since: int = 0) -> DataFrame:
-    """Logged changes after a catalog version, since the last snapshot: seq, op, id, and the inserted record."""
+    """Logged changes after a catalog version, since the last snapshot: seq, op, id, and the inserted record.
+
+    A checkpoint may put a long log together under its last number, so a change may be seen again, never missed.
+    """
     db, state = collection._db, collection._state
     out = db.spark.createDataFrame([], "seq long, op string, id long")
     for x in state["log"]:

@@ -64,13 +64,17 @@ class Options:
     hnsw_ef_search: int = 50
     metric: Metric = Metric.COSINE
     checkpoint_interval: float | None = 300.0
+    #: Seconds for which data that a checkpoint or a deletion has replaced stays, so that readers made before can end.
+    retention: float = 86_400.0
+    #: A checkpoint rewrites a collection if more than this share of its records is deleted.
+    compaction: float = 0.2
     logger: logging.Logger = field(default_factory=lambda: logging.getLogger("vecloom"))
 
     def __post_init__(self):
         for name, ok in (
             ("page_size", self.page_size >= 4096 and self.page_size % 4096 == 0), ("max_dimensions", 1 <= self.max_dimensions <= 100_000), ("hnsw_m", 2 <= self.hnsw_m <= 128),
             ("hnsw_ef_construction", 1 <= self.hnsw_ef_construction <= 2000), ("hnsw_ef_search", 1 <= self.hnsw_ef_search <= 2000), ("metric", isinstance(self.metric, Metric)),
-            ("checkpoint_interval", self.checkpoint_interval is None or self.checkpoint_interval > 0),
+            ("checkpoint_interval", self.checkpoint_interval is None or self.checkpoint_interval > 0), ("retention", self.retention >= 0), ("compaction", 0 <= self.compaction <= 1),
         ):
             if not ok:
                 raise ValueError(f"{name} is out of range: {getattr(self, name)}")
