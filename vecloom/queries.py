@@ -12,13 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memory import Memory, MemoryStore
 from .operators import records
 from .operators.scalar import ScalarQuery
 from .operators.search import VectorQuery, knn_batch
 from .plans.filters import And, Equal, Fields, Filter, In, Not, NotEqual, Or, Range, where
 from .plans.ordering import Cursor, after
-from .sources.staging import staged
-from .types import Direction, Metric, Projection
+from .sources.staging import fresh_path, staged
+from .sources.store import Collection, Database
+from .streaming.changes import changes
+from .types import Direction, IndexDefinition, IndexType, Metric, Options, Projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -360,6 +363,188 @@ SQL["memory_nearest"] = f"""WITH {DOCS}, x AS (SELECT id, list_cosine_distance(e
     r AS (SELECT *, row_number() OVER (ORDER BY d, id) AS n FROM x) SELECT 'doc-' || id AS key, round(1 - d, 6) + 0.0 AS score FROM r WHERE n <= 5 AND 1 - d >= 0.05"""
 
 
+def opened(spark: SparkSession) -> Database:
+    """A new database in the shared folder."""
+    return Database(spark, fresh_path(spark, "store"), Options(checkpoint_interval=None))
+
+
+def reopened(db: Database) -> Database:
+    return Database(db.spark, db.path, Options(checkpoint_interval=None))
+
+
+def stored_docs(spark: SparkSession, d: str, name: str = "docs") -> tuple[Database, Collection]:
+    """All documents that have a vector, as a collection; ids follow doc_id."""
+    db = opened(spark)
+    collection = db.get_or_create(name, 64)
+    collection.insert_df(docs_vec(spark, d).select("id", "vector", "metadata", "text"), ["id"])
+    return db, collection
+
+
+def lines(df: DataFrame) -> DataFrame:
+    return df.select("id", "metadata.lang", "metadata.label", F.length("text").alias("text_length"))
+
+
+STORED = f"{DOCS}, stored AS (SELECT row_number() OVER (ORDER BY id) AS id, embedding, label, lang, n_chars, length(text)::INT AS text_length FROM docs_vec)"
+
+
+@_query
+def store_insert_reopen(spark: SparkSession, d: str) -> DataFrame:
+    """Insert, close (a checkpoint), open again, read all."""
+    db, _ = stored_docs(spark, d)
+    db.close()
+    return lines(reopened(db).get("docs").df())
+
+
+SQL["store_insert_reopen"] = f"WITH {STORED} SELECT id, lang, label, text_length FROM stored"
+
+
+@_query
+def store_log_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Insert and delete without a checkpoint; another database on the same path reads snapshot-less logs."""
+    db, collection = stored_docs(spark, d)
+    collection.delete_df(collection.df().where("id % 5 = 0"))
+    return lines(reopened(db).get("docs").df())
+
+
+SQL["store_log_recovery"] = f"WITH {STORED} SELECT id, lang, label, text_length FROM stored WHERE id % 5 <> 0"
+
+
+@_query
+def store_delete_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Delete a third of a checkpointed collection, so that the next checkpoint compacts it; a reader from before stays whole."""
+    db, collection = stored_docs(spark, d)
+    db.checkpoint()
+    before = collection.df()
+    n = collection.delete_df(collection.df().where("id % 3 = 0"))
+    db.checkpoint()
+    counted = collection.df().agg(F.count("*").alias("n_left"), F.sum("id").alias("sum_left"))
+    return counted.crossJoin(before.agg(F.count("*").alias("n_before"))).withColumn("n_deleted", F.lit(n).cast("long"))
+
+
+SQL["store_delete_compact"] = f"""WITH {STORED} SELECT count(*) FILTER (id % 3 <> 0) AS n_left, sum(id) FILTER (id % 3 <> 0)::BIGINT AS sum_left,
+    count(*) AS n_before, count(*) FILTER (id % 3 = 0) AS n_deleted FROM stored"""
+
+
+@_query
+def store_recreate(spark: SparkSession, d: str) -> DataFrame:
+    """Delete a collection and make one of its name with other dimensions: ids start anew."""
+    db, _ = stored_docs(spark, d)
+    db.delete("docs")
+    collection = db.get_or_create("docs", 2)
+    rows = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("float"), F.lit(1.0).cast("float")).alias("vector"), F.struct(F.col("p_brand").alias("brand")).alias("metadata"))
+    collection.insert_df(rows, ["p_partkey"])
+    return collection.df().select("id", "metadata.brand", F.get("vector", F.lit(0)).cast("int").alias("size"))
+
+
+SQL["store_recreate"] = "SELECT row_number() OVER (ORDER BY p_partkey) AS id, p_brand AS brand, p_size::INT AS size FROM part"
+
+
+@_query
+def store_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Collections and indexes as a database lists them after it is opened again."""
+    db, collection = stored_docs(spark, d)
+    db.get_or_create_scalar("events")
+    db.get_or_create("gone", 3)
+    db.delete("gone")
+    collection.create_index(IndexDefinition("by_size", IndexType.ORDERED, ("n_chars",)))
+    collection.create_index(IndexDefinition("by_lang", IndexType.COMPOSITE_ORDERED, ("lang", "n_chars")))
+    db.close()
+    again = reopened(db)
+    rows = [(n, c.mode.value, c.dimensions, ",".join(f"{x.name}:{'+'.join(x.fields)}" for x in c.list_indexes()), again.exists("gone")) for n in again.names() for c in [again.get(n)]]
+    return spark.createDataFrame(rows, "name string, mode string, dimensions int, indexes string, gone boolean")
+
+
+SQL["store_catalog"] = "SELECT * FROM (VALUES ('docs', 'vector', 64::INT, 'by_size:n_chars,by_lang:lang+n_chars', false), ('events', 'scalar_only', 1::INT, '', false)) v(name, mode, dimensions, indexes, gone)"
+
+
+@_query
+def store_ordered_range(spark: SparkSession, d: str) -> DataFrame:
+    """A range over a field whose declared order sorts the snapshot."""
+    db, collection = stored_docs(spark, d)
+    collection.create_index(IndexDefinition("by_size", IndexType.ORDERED, ("n_chars",)))
+    db.checkpoint()
+    return collection.filter().where(Range("n_chars", 500, 2000)).top_k(None).select(Projection.METADATA).to_df().select("id", "metadata.n_chars", "metadata.lang")
+
+
+SQL["store_ordered_range"] = f"WITH {STORED} SELECT id, n_chars, lang FROM stored WHERE n_chars >= 500 AND n_chars < 2000"
+
+
+@_query
+def store_scalar_only(spark: SparkSession, d: str) -> DataFrame:
+    """A collection without vectors: insert, delete, close, open again, filter."""
+    db = opened(spark)
+    collection = db.get_or_create_scalar("events")
+    collection.insert_df(events(spark, d), ["id"])
+    collection.delete_df(collection.df().where("id % 2 = 0"))
+    db.close()
+    q = reopened(db).get("events").filter().where("event_type", "click").top_k(None).select(Projection.METADATA)
+    return q.to_df().select("id", "metadata.user_id", "metadata.value")
+
+
+SQL["store_scalar_only"] = """WITH s AS (SELECT row_number() OVER (ORDER BY event_id) AS id, event_type, user_id, value FROM events)
+    SELECT id, user_id, value FROM s WHERE id % 2 <> 0 AND event_type = 'click'"""
+
+
+@_query
+def store_search(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest records of an open collection, with their texts."""
+    db, collection = stored_docs(spark, d)
+    db.checkpoint()
+    return ranked(collection.query(vector_of(spark, d)).where(Equal("lang", "en")).to_df().withColumn("text_length", F.length("text")), "text_length")
+
+
+SQL["store_search"] = knn_sql(predicate="lang = 'en'", source="stored", ctes=STORED, extra=", text_length")
+
+
+@_query
+def store_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The change log of a collection: its insertions and deletions."""
+    _, collection = stored_docs(spark, d)
+    collection.delete_df(collection.df().where("id % 10 = 0"))
+    return changes(collection).groupBy("op").agg(F.count("*").alias("n"), F.sum("id").alias("sum_id"), F.countDistinct("seq").alias("n_changes"))
+
+
+SQL["store_changes"] = f"""WITH {STORED} SELECT 'insert' AS op, count(*) AS n, sum(id)::BIGINT AS sum_id, 1::BIGINT AS n_changes FROM stored
+    UNION ALL SELECT 'delete', count(*), sum(id)::BIGINT, 1 FROM stored WHERE id % 10 = 0"""
+
+
+def remembered(spark: SparkSession, d: str) -> MemoryStore:
+    """A memory store of nations: all of them, some again with another text, some removed; few objects, as its interface takes them."""
+    store = MemoryStore(opened(spark))
+    nations = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    memory = lambda n, more="": Memory(n["n_name"], n["n_name"] + more, (float(n["n_nationkey"]), float(n["n_regionkey"]), 1.0), str(n["n_regionkey"]))
+    list(store.upsert_batch("nations", [memory(n) for n in nations]))
+    list(store.upsert_batch("nations", [memory(n, " again") for n in nations if n["n_nationkey"] % 3 == 0]))
+    store.remove_batch("nations", [n["n_name"] for n in nations if n["n_nationkey"] % 5 == 4])
+    return store
+
+
+REMEMBERED = """kept AS (SELECT n_name AS key, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' again' ELSE '' END AS text, n_regionkey::VARCHAR AS additional,
+    n_nationkey AS n, [n_nationkey::DOUBLE, n_regionkey::DOUBLE, 1.0::DOUBLE] AS x FROM nation WHERE n_nationkey % 5 <> 4)"""
+
+
+@_query
+def memory_store_get(spark: SparkSession, d: str) -> DataFrame:
+    """Memories by key, in the order asked for, without missing ones."""
+    keys = [r["n_name"] for r in table(spark, d, "nation").orderBy(F.desc("n_nationkey")).collect()]
+    got = remembered(spark, d).get_batch("nations", ["nobody", *keys])
+    return spark.createDataFrame([(i, m.key, m.text, m.additional) for i, m in enumerate(got)], "pos int, key string, text string, additional string")
+
+
+SQL["memory_store_get"] = f"WITH {REMEMBERED} SELECT (row_number() OVER (ORDER BY n DESC) - 1)::INT AS pos, key, text, additional FROM kept"
+
+
+@_query
+def memory_store_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The memories nearest to a vector, with their relevance."""
+    found = remembered(spark, d).nearest_matches("nations", [3.0, 1.0, 2.0], 5, 0.1)
+    return spark.createDataFrame([(i + 1, m.key, round(s, 6) + 0.0) for i, (m, s) in enumerate(found)], "rank int, key string, score double")
+
+
+SQL["memory_store_nearest"] = f"""WITH {REMEMBERED}, r AS (SELECT key, n, list_cosine_similarity(x, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS score FROM kept)
+    SELECT (row_number() OVER (ORDER BY score DESC, n))::INT AS rank, key, round(score, 6) + 0.0 AS score FROM r WHERE score >= 0.1 ORDER BY score DESC, n LIMIT 5"""
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the ten records nearest to record 0 among those of some labels."""
     return QUERIES["hybrid_range"](spark, sf_dir)
