@@ -12,7 +12,10 @@ Defined cases: ids after the last separator of a file are a document too (of
 separator counts); an empty file or table gives no rows; a file whose size is
 no multiple of the id's width is refused.  Documents are encoded so that none
 holds the end id: a special token's text in a document counts as the tokens of
-plain text (see ``tokenfiles``).
+plain text (see ``tokenfiles``).  Null text counts as empty (the separator
+alone); rows that repeat, or share a doc_id, are documents each; a null doc_id is
+returned as it is; a very long document stretches over as many blocks as it
+needs; further columns are ignored.
 """
 
 from __future__ import annotations
