@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from ..sources.staging import fresh_path, release, remove, shared_dir, staged  #
 #: White space that separates words, as bytes; a word is a run of anything else.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts that go to a Python worker at once (or one text, if longer).
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +34,19 @@ def null_key(column: str | Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~"))
 
 
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for rows that hold texts, in batches of at most about ``BATCH_BYTES``.
+
+    Spark fills batches by number of rows up to a bound of 64 MB, which both the
+    executor and the worker hold more than once; the bound is the session's
+    setting, which is lowered here unless the session sets it itself.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` is called so in any case."""
     taken = {c.lower() for c in df.columns}

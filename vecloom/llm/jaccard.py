@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
-from .common import free_name, fresh_path, join_ids, remove, staged, text_of
+from .common import free_name, fresh_path, join_ids, map_texts, remove, staged, text_of
 from .components import components
 
 #: Bytes of text that a bucket of the screening stands for.
@@ -159,7 +159,7 @@ def profile(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, PROFILE)
+    return map_texts(rows, run, PROFILE)
 
 
 def screened(blocks: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), *(pa.array([d[i] for d in both], pa.int64()) for i in (0, 1)), lists], ["doc_id", "n", "d1", "d2", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, tokens array<long>")
+    return map_texts(rows, run, "doc_id long, n long, d1 long, d2 long, tokens array<long>")
 
 
 def sql_overlap(size: Column, percent: int) -> Column:
@@ -359,7 +359,7 @@ def digested(docs: DataFrame, n: int, names: list[str]) -> DataFrame:
             both = [digest(sets[a:b]) if b > a else (0, 0) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds)), *(pa.array([d[i] for d in both], pa.int64()) for i in (0, 1))], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

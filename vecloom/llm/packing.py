@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import staged, text_of
+from .common import map_texts, staged, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that one task ranks.
@@ -120,7 +120,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFram
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return map_texts(rows, run, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

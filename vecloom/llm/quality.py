@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import text_of
+from .common import map_texts, text_of
 
 BUCKETS = 1 << 12
 RANK = 8
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
     # At most ``rows`` small rows: that bound is what lets them go to every task.
     known = _columns(docs).join(F.broadcast(chosen), "doc_id")
-    got = known.select("doc_id", "text", "n_chars", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, buckets binary, values binary, stats binary")
+    got = map_texts(known.select("doc_id", "text", "n_chars", F.col("quality").cast("int").alias("quality")), run, "doc_id long, quality int, buckets binary, values binary, stats binary")
     # A doc_id that repeats is learned from once (of several texts one, by order of what is known of them).
     got = got.groupBy("doc_id").agg(F.min(F.struct("quality", "buckets", "values", "stats")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     parts = [np.frombuffer(x, "<u2") for x in got["buckets"].to_pylist()]
@@ -193,7 +193,7 @@ def scored(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             score = sent.value.score(*features(b.column(1), b.column(2).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
 
-    out = _columns(docs).mapInArrow(run, "doc_id long, score double")
+    out = map_texts(_columns(docs), run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"))
 
 
@@ -208,4 +208,4 @@ def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             score = sent.value.score(*features(b.column(text), b.column(chars).cast(pa.float64()).to_numpy(zero_copy_only=False)))
             yield b.filter(pa.array(score >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

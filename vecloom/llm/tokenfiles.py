@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import fresh_path, local_path, staged, text_of, write_once
+from .common import fresh_path, local_path, map_texts, staged, text_of, write_once
 
 #: Rows of a batch of a sequence file.
 BATCH_ROWS = 64
@@ -153,7 +153,7 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int, len
         for docs_, starts, counts in out:
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(docs_), pa.int32()), pa.array(docs_, pa.int64()), pa.array(starts), pa.array(counts)], ["file", "doc_id", "local_start", "n_tokens"])
 
-    return staged(in_order(docs).mapInArrow(run, PLACES), "places")
+    return staged(map_texts(in_order(docs), run, PLACES), "places")
 
 
 def read_sequences(places: DataFrame, path: str) -> DataFrame:
@@ -215,7 +215,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataF
             at += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return staged(rows.mapInArrow(run, "file string, bytes long, ordinal long, doc_id long"), "flat")
+    return staged(map_texts(rows, run, "file string, bytes long, ordinal long, doc_id long"), "flat")
 
 
 def flat_files(written: DataFrame) -> DataFrame:
