@@ -72,3 +72,27 @@ def test_more_notices_than_are_broadcast(spark, docs):
     rows = [(1, "x\nnotice of license 29999\nNotice of licence: 7!\ny"), (2, "nothing"), (1, "Notice of licence 7"), (None, None), (3, "Notice of licence 7\nNOTICE OF LICENCE 7")]
     got = sorted((str(r.doc_id), r.notices) for r in license_scan(docs(*rows), known(spark), many).collect())
     assert got == [("1", "N29999,N7"), ("1", "N7"), ("2", ""), ("3", "N7"), ("None", "")]
+
+
+def test_grant_in_the_copyright_line(spark, docs):
+    """What follows the copyright statement in its line stays if it is a grant; SQL agrees."""
+    import duckdb
+
+    from vecloom.llm.licenses import ISC_GRANT, ISC_KEEP, ISC_WARRANTY
+    from vecloom.llm.oracles import license_sql
+
+    joined = " ".join(MIT.split())
+    texts = {
+        1: ("Copyright (c) 2020 Some One. " + joined, "MIT", ""), 2: ("Copyright 2020 A. B. Inc. All rights reserved. " + joined, "MIT", ""),
+        3: (f"© 2001, X Co.; {ISC_GRANT}{ISC_KEEP}. " + ISC_WARRANTY, "ISC", ""), 4: ("(c) Y. Licensed under the MIT License.\nprose", None, "MIT"),
+        5: ("Copyright 2019-2020 The Authors. This work is licensed under the GNU General Public License, version 2.", None, "GPL-2.0"),
+        6: ("Copyright 2020 X. All rights reserved. No part may be copied.", None, ""), 7: ("Copyright 2020 X. Permission", None, ""), 8: ("Copyright " * 20_000 + "2020. " * 20_000, None, ""),
+        9: ("Copyright 2020 X; licensed under CC BY 4.0\n(c) 2021 Z. Released under CC0 1.0.", None, "CC-BY-4.0,CC0-1.0"), 10: ("Copyright (c) 2020 X\n" + MIT + "\nCopyright 2021 Y. All rights reserved.", "MIT", ""),
+    }
+    rows = [(i, t) for i, (t, _, _) in texts.items()]
+    got = license_scan(docs(*rows)).collect()
+    assert {r.doc_id: (r.license, r.notices) for r in got} == {i: x[1:] for i, x in texts.items()}  # notices are known as lines, not as whole texts
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(license_sql()).fetchall())

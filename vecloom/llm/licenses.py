@@ -1,7 +1,7 @@
 """License scans by canonical digest; DataFrame functions only.
 
-A text is brought into a canonical form (lower case; copyright lines dropped;
-equivalent spellings made one; punctuation and white space folded), hashed, and
+A text is brought into a canonical form (lower case; copyright lines dropped, up
+to the grant if one goes on in the same line; equivalent spellings made one; punctuation and white space folded), hashed, and
 the digest is joined with those of known licence texts.  Two texts meet only if
 they are wholly the same in canonical form.  Notices of one line ("Licensed
 under the ...") are found the same way, line by line: only lines that hold
@@ -37,8 +37,8 @@ SPELLINGS = (
     ("(^| )noninfringement", "$1non infringement"), ("(^| )authorisation", "$1authorization"), ("(^| )https ", "$1http "), ("(^| )copyright holder", "$1copyright owner"),
     ("(^| )per cent ", "$1percent "), ("(^| )version ([0-9])", "$1v$2"), ("(^| )(v[0-9]+) 0( |$)", "$1$2$3"),
 )
-#: A line that only says who holds the copyright, or that all rights are reserved.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n][^\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that says who holds the copyright, or that all rights are reserved; if a sentence after it starts a grant, the line stays from there on (group 1).
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n][^\n]*?(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*?(?:[.;][ \t]+((?:permission|licen[cs]ed|released|distributed|redistribution|this (?:work|software|program|file|text|document)) [^\n]*))?$"
 MARKS = r"[^\p{L}\p{N}]+"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -84,7 +84,7 @@ NOTICES = (
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    out = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT_LINE), F.lit(" "))
+    out = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT_LINE), F.lit(" $1"))
     out = F.regexp_replace(out, F.lit(MARKS), F.lit(" "))
     for spelling, one in SPELLINGS:
         out = F.regexp_replace(out, F.lit(spelling), F.lit(one))

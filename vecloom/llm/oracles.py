@@ -18,7 +18,7 @@ def quoted(text: str) -> str:
 
 def license_sql() -> str:
     def digest(text: str) -> str:
-        out = f"regexp_replace(regexp_replace(lower({text}), {quoted(COPYRIGHT_LINE)}, ' ', 'g'), {quoted(MARKS)}, ' ', 'g')"
+        out = f"regexp_replace(regexp_replace(lower({text}), {quoted(COPYRIGHT_LINE)}, ' \\1', 'g'), {quoted(MARKS)}, ' ', 'g')"
         for spelling, one in SPELLINGS:
             out = f"regexp_replace({out}, {quoted(spelling)}, {quoted(one.replace('$', chr(92)))}, 'g')"
         return f"sha256(trim({out}, ' '))"
