@@ -4,7 +4,8 @@ import re
 import pytest
 
 from vecloom.llm.common import null_key
-from vecloom.llm.mixing import KNOTS, SCHEDULES, demand, mixed, plan, targets
+from vecloom.llm.mixing import KNOTS, SCHEDULES, demand, mean, mixed, plan, report, targets
+from vecloom.llm.registry import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,3 +108,50 @@ def test_demand():
 def test_no_words(spark, docs):
     assert plan(docs((1, "x")).limit(0)).collect() == []
     assert [r.taken for r in plan(docs((1, None), (2, " "))).collect()] == [0, 0]
+
+
+def test_query_states_the_mixture(spark, docs, tmp_path):
+    """op4_mixing counts what stands in the mixture, and says where."""
+    df = docs(*corpus(6))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op4_mixing"](spark, str(tmp_path))
+    assert out.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    got, mixture = out.collect(), mixed(df).collect()
+    assert sorted(map(str, (r[:5] for r in got))) == sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in plan(df).collect())
+    words, passes = {}, {}
+    for r in mixture:
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(WORD.findall(r.text))
+        passes[r.doc_id] = passes.get(r.doc_id, 0) + 1
+    for key in {r.doc_id for r in got}:
+        assert sum(r.taken for r in got if r.doc_id == key) == words.get(key, 0)
+        assert sum(r.passes for r in got if r.doc_id == key) == passes.get(key, 0)
+    taken = sorted((r for r in got if r.taken), key=lambda r: r.place)
+    assert [r.start for r in taken] == sorted(r.start for r in taken)
+    assert len({r.place for r in taken}) == len(taken) and all(mixture[r.place].doc_id == r.doc_id for r in taken)
+    assert all((r.passes, r.start, r.place) == (0, None, None) for r in got if not r.taken) and any(r.size == 0 for r in got)
+    again = QUERIES["op4_mixing"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_schedules_move_documents(spark, docs):
+    """Other schedules of the same mean change times and places, not what is taken."""
+    df = docs(*[(i, "w " * 10, "en", s) for i, s in enumerate("abc" * 200)])
+    one, other = ({r.doc_id: r for r in report(df, schedules=s).collect()} for s in (SCHEDULES, SCHEDULES[::-1]))
+    assert {i: r.taken for i, r in one.items()} == {i: r.taken for i, r in other.items()}
+    for first, later in ((one, other), (other, one)):  # source a, then source c: what fades comes earlier
+        ids = [i for i in one if i % 3 == (0 if first is one else 2) and one[i].taken]
+        assert sum(first[i].place for i in ids) < sum(later[i].place for i in ids)
+        assert sum(first[i].start for i in ids) < sum(later[i].start for i in ids)
+
+
+def test_targets_follow_the_integrals(spark, docs):
+    assert [mean(s, KNOTS) for s in SCHEDULES] == [1.0, 1.0, 1.0]
+    assert mean((2.0, 0.0, 4.0), (0.0, 1.0, 3.0)) == pytest.approx(5 / 3)
+    df = docs(*[(i, "w " * 10, "en", s) for i, s in enumerate("abc" * 20)])
+    got = {r.doc_id % 3: r.target for r in plan(df, schedules=((3.0, 2.0, 1.0), (1.0, 1.0, 1.0), (0.0, 1.0, 2.0))).collect()}
+    assert got == pytest.approx({0: 600 * 10 / 13, 1: 600 * 2 / 13, 2: 600 * 1 / 13})
+
+
+def test_report_without_words(spark, docs):
+    assert report(docs((1, "x")).limit(0)).collect() == []
+    assert [tuple(r)[4:] for r in report(docs((1, None), (1, None), (None, " "))).collect()] == [(0, 0, None, None)] * 3

@@ -45,9 +45,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import plan
+    from .mixing import report
 
-    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return report(table(spark, sf_dir, "documents"))
 
 
 @query
