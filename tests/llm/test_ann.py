@@ -116,3 +116,41 @@ def test_repeats_of_an_id_take_no_places(spark):
     df = frame(spark, x, np.repeat(np.arange(40), 30))
     got = by_query(nearest(df, df.dropDuplicates(["id"]), 20))
     assert all(len(got.get(q, [])) == 20 and q not in {f[1] for f in got[q]} for q in range(40))
+
+
+def test_queries_unlike_the_rows(spark):
+    """The rows are clusters, the queries among them point anywhere: probes that suit the rows miss half of their neighbours."""
+    r = np.random.default_rng(10)
+    x = r.normal(size=(60, 32))[r.integers(0, 60, 4000)] + r.normal(size=(4000, 32)) * 0.1
+    x[::20] = r.normal(size=(200, 32))
+    ids, df = np.arange(4000), frame(spark, x)
+    got = by_query(nearest(df.repartition(4), df.where("id % 20 = 0"), 20))
+    shares = [len(set(exact(x, ids, x[q], q, 20)[0].tolist()) & {f[1] for f in got[q]}) / 20 for q in range(0, 4000, 20)]
+    assert np.mean(shares) >= 0.93 and np.quantile(shares, 0.1) >= 0.7
+
+
+@pytest.mark.parametrize("size", [1e-25, 1.0, 1e25])
+def test_reranking_loses_nothing(spark, monkeypatch, size):
+    """With all lists probed the search is exact: near copies with equal codes, vectors the sample did not hold, any scale."""
+    monkeypatch.setattr(ann, "SAMPLE", 300), monkeypatch.setattr(ann, "MEASURED", 5000)
+    r = np.random.default_rng(11)
+    x = r.normal(size=(2000, 12))
+    x[500:1200] = x[500] + r.normal(size=(700, 12)) * 1e-7
+    x[1500:1505] *= 300
+    x *= size
+    ids, df = np.arange(2000), frame(spark, x)
+    got = by_query(nearest(df.repartition(4), df.where("id % 20 = 0"), 20, recall=1.0))
+    hits = sum(len(set(exact(x, ids, x[q], q, 20)[0].tolist()) & {f[1] for f in got[q]}) for q in got)
+    assert len(got) == 100 and hits >= 0.99 * 2000
+
+
+def test_bound_of_codes():
+    r = np.random.default_rng(12)
+    x = r.normal(size=(3000, 10)) * r.pareto(1.0, (3000, 1))
+    index = fit(x[:500], 3000)
+    lists = index.lists(x)
+    codes = index.codes(x, lists)
+    slack, far = index.left(x, lists, codes)
+    q = ann.unit(r.normal(size=(50, 10))) * index.scale
+    near = index.approximate(q, index.tables(q).astype(np.float32), lists, codes)
+    assert (np.abs(near - q @ x.T) <= slack).all() and np.allclose(far, np.linalg.norm(x - index.centroids[lists], axis=1) * index.scale)

@@ -5,15 +5,20 @@ sample; every vector is then indexed: its list, one byte for each group of
 dimensions, and itself for reranking.  A query probes the lists whose centroids
 have the largest inner product with it.  Within a list, distances come from an
 asymmetric table (one inner product for each group and code, looked up for all
-vectors of the list), the best of each block are reranked exactly in double
-precision, and the best of all blocks are merged.
+vectors of the list), the best of each shard are reranked exactly in double
+precision, and the best of all shards are merged.
 
-How many lists to probe, and how many vectors to rerank, is measured, not
-guessed: on the sample, over the whole path (probing, approximate distances,
-reranking), the fewest that find ``RECALL`` of the sampled queries' true
-neighbours.  Clustered vectors need few lists; vectors without structure need
-many.  A query whose lists hold too few vectors probes on until there are enough
-for k neighbours.
+How many lists to probe is measured, not guessed: some of the queries themselves
+are held against every row, and the fewest lists are taken that hold ``RECALL``
+of their true neighbours, and a share of ``LEAST`` for nearly each of them.  So it
+does not matter whether queries are like the rows.  Clustered vectors need few
+lists; vectors without structure need many.  A query whose lists hold too few
+vectors probes on until there are enough for k neighbours.
+
+Reranking loses nothing: with each vector goes a bound of what its code leaves
+out, and all that may be among the k best by that bound are reranked.  Near
+copies, whose codes are equal, and vectors that the sample did not foresee differ
+only in how many are reranked.
 
 Lists that lie near each other share a shard of at most about ``BLOCK`` vectors; a
 larger list is cut into several shards.  Each vector is sent to its shard once,
@@ -50,11 +55,16 @@ GROUPS = 32
 BLOCK, BLOCK_NUMBERS, QUERIES = 65_536, 4_194_304, 131_072
 #: Vectors that a shard should have at least, and shards that there should be, so that small tables use several tasks.
 SMALL, SHARDS = 4_096, 8
-#: Reranked for each neighbour wanted, of each shard: the least of these that is enough.
-RERANK = (3, 6, 12, 24)
+#: Reranked first for each neighbour wanted, of each shard; the k-th of them tells which others may be nearer.
+RERANK = 3
 #: Distances that are worked out at a time.
 CELLS = 1 << 21
-RECALL = 0.97
+#: True neighbours to find: of all, and of each query but for one in twenty.
+RECALL, LEAST = 0.97, 0.8
+#: Queries on which that is measured, at most.
+MEASURED = 256
+#: How much the radius of a list counts in the order of probing, in units of a random direction's share of it: the best of these.
+REACHES = (0.0, 0.5, 1.0, 2.0, 4.0)
 
 
 @dataclass
@@ -63,8 +73,7 @@ class Index:
 
     centroids: np.ndarray  # lists by dimensions
     books: np.ndarray  # groups by codes by dimensions of a group
-    probes: int
-    depth: int  # reranked
+    scale: float  # times a vector is about 1 long
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         """The nearest centroid of each vector."""
@@ -87,13 +96,56 @@ class Index:
         return np.einsum("qgw,gcw->qgc", self.grouped(q), self.books)
 
     def approximate(self, q: np.ndarray, tables: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """The inner product of each query with each vector, as far as its list and codes tell: the same in any batch."""
+        """The inner product of each query with each vector, as far as its list and codes tell."""
         own, place = np.unique(lists, return_inverse=True)
-        near = (q[:, None, :] * self.centroids[own][None]).sum(axis=2).astype(np.float32)[:, place]
+        near = (q @ self.centroids[own].T).astype(np.float32)[:, place]
         for g in range(codes.shape[1]):
             near += tables[:, g][:, codes[:, g]]
         return near
 
+    def left(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector, scaled: how far its inner product with a query of length 1 may be from the approximate one, and its distance from its centroid."""
+        groups, _, width = self.books.shape
+        rest = self.grouped((x - self.centroids[lists]) * self.scale)
+        coded = np.stack([self.books[g][codes[:, g]] for g in range(groups)], axis=1) * self.scale if len(x) else np.zeros((0, groups, width))
+        far = np.sqrt((rest**2).sum(axis=(1, 2)))
+        middle = np.sqrt(((self.centroids[lists] * self.scale) ** 2).sum(axis=1))
+        # Sums of up to GROUPS + 1 numbers of 32 bits are as exact as the second term says.
+        return np.sqrt(((rest - coded) ** 2).sum(axis=(1, 2))) * (1 + 1e-6) + 1e-5 * (far + middle + np.sqrt((coded**2).sum(axis=(1, 2)))), far
+
+
+@dataclass
+class Probing:
+    """The order in which a query probes the lists, and how many of them."""
+
+    held: np.ndarray  # vectors of each list
+    reach: np.ndarray  # what is added to the inner product of a query of length 1 with each centroid
+    probes: int
+
+    def order(self, index: Index, q: np.ndarray) -> np.ndarray:
+        return np.argsort(-np.where(self.held > 0, unit(q) @ index.centroids.T * index.scale + self.reach, -np.inf), axis=1, kind="stable")
+
+
+def unit(q: np.ndarray) -> np.ndarray:
+    """Vectors at length 1."""
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    return q / np.sqrt((q**2).sum(axis=1, keepdims=True))
+
+
+def probing(index: Index, held: np.ndarray, radius: np.ndarray, q: np.ndarray, asking: np.ndarray, lists: np.ndarray, recall: float = RECALL) -> Probing:
+    """The order that needs the fewest vectors, from queries q and, for each true neighbour, its query's place in q and its list."""
+    found, share = [], 1 / np.sqrt(index.centroids.shape[1])
+    for reach in REACHES if len(lists) else REACHES[:1]:
+        p = Probing(held, reach * share * radius, 1)
+        order = p.order(index, q)
+        place = np.argsort(order, axis=1)[asking, lists]
+        if len(place):
+            alone = [np.sort(place[asking == i]) for i in np.unique(asking)]
+            alone = np.sort([x[int(np.ceil(LEAST * len(x))) - 1] for x in alone])
+            p.probes = 1 + int(max(np.sort(place)[int(np.ceil(recall * len(place))) - 1], alone[int(np.ceil(0.95 * len(alone))) - 1]))
+        found.append((int(held[order[:, : p.probes]].sum()), p))
+    return min(found, key=lambda f: f[0])[1]
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int, r: np.random.Generator) -> np.ndarray:
     centres = x[r.permutation(len(x))[:k]].copy()
@@ -108,42 +160,17 @@ def kmeans(x: np.ndarray, k: int, rounds: int, r: np.random.Generator) -> np.nda
     return centres
 
 
-def fit(x: np.ndarray, rows: int, k: int, recall: float = RECALL, seed: int = 11) -> Index:
+def fit(x: np.ndarray, rows: int, seed: int = 11) -> Index:
     """An index for ``rows`` vectors, from a sample of them."""
     r = np.random.default_rng(seed)
     lists = int(np.clip(np.sqrt(rows), 1, max(1, min(LISTS, len(x) // 8))))
-    index = Index(kmeans(x, lists, 10, r), np.zeros((1, 1, x.shape[1])), lists, RERANK[0] * k)
+    peak = np.abs(x).max()
+    index = Index(kmeans(x, lists, 10, r), np.zeros((1, 1, x.shape[1])), float(1 / (peak * np.sqrt(((x / peak) ** 2).sum(axis=1).mean()))))
     own = index.lists(x)
     width = -(-x.shape[1] // GROUPS)
     index.books = np.zeros((-(-x.shape[1] // width), min(256, len(x)), width))
     rest = index.grouped(x - index.centroids[own])[: 1 << 13]
     index.books = np.stack([kmeans(rest[:, g], min(256, len(rest)), 8, r) for g in range(rest.shape[1])])
-    # Over the whole path: the fewest lists, and the fewest vectors to rerank, that find enough true neighbours.
-    q = x[: min(256, len(x))]
-    own_row = np.arange(len(q))
-    exact = q @ x.T
-    exact[own_row, own_row] = -np.inf
-    best = np.argsort(-exact, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(-(q @ index.centroids.T), axis=1, kind="stable"), axis=1).astype(np.int32)[:, own]
-    codes, tables = index.codes(x, own), index.tables(q).astype(np.float32)
-    near = np.concatenate([index.approximate(q, tables, own[i : i + 256], codes[i : i + 256]) for i in range(0, len(x), 256)], axis=1)
-    near[own_row, own_row] = -np.inf
-    wanted, at = np.take_along_axis(place, best, axis=1), np.take_along_axis(near, best, axis=1)
-
-    def found(probes: int, depth: int) -> float:
-        """The share of true neighbours whose list is probed and that come before the depth-th best of the probed lists."""
-        if not best.size:
-            return 1.0
-        seen = np.where(place < probes, near, -np.inf)
-        last = -np.partition(-seen, min(depth, len(x)) - 1, axis=1)[:, min(depth, len(x)) - 1]
-        return float(((wanted < probes) & (at >= last[:, None])).mean())
-
-    index.depth = next((m * k for m in RERANK if found(lists, m * k) >= (1 + recall) / 2), RERANK[-1] * k)
-    low, high = 1, lists
-    while low < high:  # found() rises with the lists, but for the few that a longer list pushes out
-        middle = (low + high) // 2
-        low, high = (low, middle) if found(middle, index.depth) >= recall else (middle + 1, high)
-    index.probes = low
     return index
 
 
@@ -184,30 +211,41 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = RE
     rows = rows.where(F.size("vector") == dimension)
     queries = queries.where(F.col("id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == dimension))
     some = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // dimension))).select("vector").toArrow()
-    sent = spark.sparkContext.broadcast(fit(matrix(some["vector"], some.num_rows), n, k, recall))
+    sent = spark.sparkContext.broadcast(fit(matrix(some["vector"], some.num_rows), n))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        step = max(1, CELLS // 2 // dimension)
+        for b in (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
             x = matrix(b.column(1), b.num_rows)
             own = sent.value.lists(x)
             codes = sent.value.codes(x, own)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], ["list", "id", "codes", "vector"])
+            slack, far = sent.value.left(x, own, codes)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1), pa.array(slack), pa.array(far)], ["list", "id", "codes", "vector", "slack", "far"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    indexed = staged(rows.select("id", "vector").mapInArrow(assign, f"list int, id long, codes binary, vector {kind}"), "index")
-    counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
-    held = np.array([counts.get(i, 0) for i in range(len(sent.value.centroids))])
-    shards = spark.sparkContext.broadcast(dealt(sent.value, held, n))
+    indexed = staged(rows.select("id", "vector").mapInArrow(assign, f"list int, id long, codes binary, vector {kind}, slack double, far double"), "index")
+    lists = indexed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # LISTS rows at most
+    held, radius = np.zeros(len(sent.value.centroids), np.int64), np.zeros(len(sent.value.centroids))
+    for of in lists:
+        held[of["list"]], radius[of["list"]] = of["n"], of["far"]
+    asks = queries.orderBy(F.xxhash64("id"), "id").limit(max(1, min(MEASURED, SAMPLE_NUMBERS // dimension))).select("id", "vector").toArrow()
+    if not asks.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    some_q = matrix(asks["vector"], asks.num_rows)
+    true = truth(indexed, asks["id"].to_numpy(), some_q, k).toArrow()
+    way = probing(sent.value, held, radius, some_q, true["query"].to_numpy(), true["list"].to_numpy(), recall)
+    shards = spark.sparkContext.broadcast((way, *dealt(sent.value, held, n)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, parts = shards.value
+        way, first, parts = shards.value
+        held = way.held
         for batch in batches:
             for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 q = matrix(b.column(1), b.num_rows)
-                order = np.argsort(-(q @ sent.value.centroids.T), axis=1, kind="stable")
+                order = way.order(sent.value, q)
                 # On beyond the usual number until there are k candidates besides the query's own rows.
                 least = np.minimum(k + np.maximum(b.column(2).to_numpy(), 1), held.sum())
-                many = np.maximum(np.argmax(np.cumsum(held[order], axis=1) >= least[:, None], axis=1) + 1, sent.value.probes)
+                many = np.maximum(np.argmax(np.cumsum(held[order], axis=1) >= least[:, None], axis=1) + 1, way.probes)
                 row, to, lists = [], [], []
                 for i, (own, m) in enumerate(zip(order, many)):
                     own = np.sort(own[:m]).astype(np.int32)
@@ -224,14 +262,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = RE
     probed = staged(asking.mapInArrow(probe, f"shard long, id long, lists binary, vector {kind}"), "probes")
     # Shards that more queries probe than one task should answer: their number is bounded by that of all probes.
     asked = staged(probed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > QUERIES).select("shard", F.ceil(F.col("n") / F.lit(QUERIES)).cast("int").alias("asks")), "asked")
-    first, parts = (F.get(F.array(*[F.lit(int(v)) for v in x]), F.col("list")) for x in shards.value)
+    first, parts = (F.get(F.array(*[F.lit(int(v)) for v in x]), F.col("list")) for x in shards.value[1:])
     of = indexed.withColumn("shard", (first + F.pmod(F.xxhash64("id", F.col("vector")), parts)).cast("long")).join(asked, "shard", "left")
     of = of.withColumn("ask", F.explode(F.sequence(F.lit(0), F.coalesce("asks", F.lit(1)) - 1)))
     asks = probed.join(asked, "shard", "left").withColumn("ask", F.pmod(F.xxhash64("id"), F.coalesce("asks", F.lit(1))).cast("int"))
     none = lambda t: F.lit(None).cast(t)
-    both = of.select("shard", "ask", F.lit(0).alias("query"), "list", "id", "codes", none("binary").alias("lists"), "vector")
-    both = both.unionByName(asks.select("shard", "ask", F.lit(1).alias("query"), none("int").alias("list"), "id", none("binary").alias("codes"), "lists", "vector"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shards.value[1].sum()))
+    both = of.select("shard", "ask", F.lit(0).alias("query"), "list", "id", "codes", none("binary").alias("lists"), "vector", "slack")
+    both = both.unionByName(asks.select("shard", "ask", F.lit(1).alias("query"), none("int").alias("list"), "id", none("binary").alias("codes"), "lists", "vector", none("double").alias("slack")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shards.value[2].sum()))
     cells = both.repartition(tasks, "shard", "ask").sortWithinPartitions("shard", "ask", "query", "list", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +290,30 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = RE
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def truth(indexed: DataFrame, asking: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """The lists of the k nearest of all rows for each of a few queries: query (its place in q), list."""
+    sent = indexed.sparkSession.sparkContext.broadcast((asking, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking, q = sent.value
+        best = [np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64), np.zeros((len(q), k), np.int32)]
+        for batch in batches:
+            for b in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                ids, lists = b.column(1).to_numpy(), b.column(0).to_numpy()
+                score = q @ matrix(b.column(2), b.num_rows).T
+                score[asking[:, None] == ids] = -np.inf  # a query's own rows take no part
+                of = np.argpartition(-score, min(k, b.num_rows) - 1, axis=1)[:, :k]
+                all_ = [np.concatenate([x, y], axis=1) for x, y in zip(best, (np.take_along_axis(score, of, axis=1), ids[of], lists[of]))]
+                order = np.lexsort((all_[1], -all_[0]))[:, :k]
+                best = [np.take_along_axis(x, order, axis=1) for x in all_]
+        who, at = np.nonzero(best[0] > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), *(pa.array(x[who, at]) for x in best)], ["query", "score", "id", "list"])
+
+    found = indexed.select("list", "id", "vector").mapInArrow(run, "query int, score double, id long, list int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "list")
+
+
 class Shard:
     """The vectors of one shard, which its queries stream past: memory is bounded by the shard."""
 
@@ -265,7 +327,7 @@ class Shard:
 
     def add(self, part: pa.RecordBatch) -> None:
         codes = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-        self.parts.append((part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy(), codes, matrix(part.column(7), part.num_rows)))
+        self.parts.append((part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy(), codes, matrix(part.column(7), part.num_rows), part.column(8).to_numpy().astype(np.float32)))
 
     def answer(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if self.rows is None:
@@ -280,30 +342,52 @@ class Shard:
             yield self._nearest(some.column(4).to_numpy(), matrix(some.column(7), some.num_rows), [np.frombuffer(x, np.int32) for x in some.column(6).to_pylist()])
 
     def _nearest(self, asking: np.ndarray, q: np.ndarray, probes: list[np.ndarray]) -> pa.RecordBatch:
-        (lists, ids, codes, x), k = self.rows, self.k
-        depth = min(len(ids), self.index.depth)
-        tables = self.index.tables(q).astype(np.float32)
-        # The best so far of each query, as numbers that ascend with the approximate nearness, then with the row.
-        nothing = np.iinfo(np.int64).max
-        best = np.full((len(q), depth), nothing)
+        (lists, ids, codes, x, slack), k, n = self.rows, self.k, len(self.rows[1])
+        scaled = unit(q) * self.index.scale
+        tables = self.index.tables(scaled).astype(np.float32)
         of = np.zeros((len(q), len(self.index.centroids)), bool)
         for i, own in enumerate(probes):
             of[i, own] = True
-        for a, b in zip(self.first.tolist(), [*self.first[1:].tolist(), len(ids)]):
+        valid, near = np.zeros((len(q), n), bool), np.full((len(q), n), -np.inf, np.float32)
+        for a, b in zip(self.first.tolist(), [*self.first[1:].tolist(), n]):
             who = np.flatnonzero(of[:, lists[a]])
             step = max(1, CELLS // max(1, len(who)))
             for c in range(a, b, step) if len(who) else ():
                 d = min(b, c + step)
-                near = self.index.approximate(q[who], tables[who], lists[c:d], codes[c:d])
-                bits = near.view(np.int32).astype(np.int64)
-                bits = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
-                code = (-bits << 32) + np.arange(c, d)
-                code[asking[who][:, None] == ids[None, c:d]] = nothing  # a query's own rows take no part
-                code = np.concatenate([best[who], code], axis=1)
-                best[who] = np.partition(code, depth - 1, axis=1)[:, :depth] if depth < code.shape[1] else code
-        real = best != nothing
-        row = np.where(real, best & 0xFFFFFFFF, 0)
-        exact = np.where(real, np.einsum("qrd,qd->qr", x[row], q), -np.inf)
-        order = np.lexsort((ids[row], -exact, ~real))[:, :k]
-        row, exact, real = (np.take_along_axis(v, order, axis=1) for v in (row, exact, real))
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, real.sum(axis=1))), pa.array(ids[row][real]), pa.array(exact[real])], ["query_id", "vec_id", "score"])
+                valid[who, c:d] = asking[who][:, None] != ids[None, c:d]  # a query's own rows take no part
+                near[who, c:d] = self.index.approximate(scaled[who], tables[who], lists[c:d], codes[c:d])
+        near[~valid] = -np.inf
+        # The exact k-th best of those that seem best: what can't be as near by its bound is left out, all else is reranked.
+        last = np.full(len(q), -np.inf)
+        if n >= k:
+            row = np.argpartition(-near, min(n, RERANK * k) - 1, axis=1)[:, : RERANK * k]
+            score = np.where(np.take_along_axis(valid, row, axis=1), self._exact(q, np.repeat(np.arange(len(q)), row.shape[1]), row.ravel()).reshape(row.shape), -np.inf)
+            last = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        size = np.sqrt((q**2).sum(axis=1))
+        with np.errstate(all="ignore"):
+            least = last / np.abs(q).max(axis=1) * self.index.scale * (np.abs(q).max(axis=1) / size)
+            least = (least - 1e-6 * np.abs(least)).astype(np.float32)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, CELLS // 4 // len(q))
+        for a in range(0, n, step):
+            part = slice(a, min(n, a + step))
+            with np.errstate(all="ignore"):
+                may = valid[:, part] & ~(near[:, part] + slack[part] < least[:, None])
+                if 16 * np.count_nonzero(may) > may.size:  # too many to look up each: matrix products first
+                    lengths = np.sqrt((x[part] ** 2).sum(axis=1))
+                    may &= ~(q @ x[part].T < last[:, None] - 1e-15 * x.shape[1] * size[:, None] * lengths)
+            who, row = np.nonzero(may)
+            score = self._exact(q, who, row + a)
+            keep = score >= last[who]
+            found.append((who[keep], row[keep] + a, score[keep]))
+        who, row, score = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+        who, row, score = who[keep], row[keep], score[keep]
+        return pa.RecordBatch.from_arrays([pa.array(asking[who]), pa.array(ids[row]), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    def _exact(self, q: np.ndarray, who: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The inner products of pairs of a query and a row, the same wherever a pair stands."""
+        x, step = self.rows[3], max(1, CELLS // q.shape[1])
+        return np.concatenate([np.zeros(0), *(np.einsum("pd,pd->p", x[row[i : i + step]], q[who[i : i + step]]) for i in range(0, len(who), step))])
