@@ -76,19 +76,41 @@ def distance_to(metric: Metric, a: Column, vector: Sequence[float]) -> Column:
     return F.when(F.size(a) != len(vector), wrong).otherwise(cosine(a, b, F.lit(norm)))
 
 
-def distances(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The same for matrices: a row a query, a column a vector."""
+def _odd_numbers(v: np.ndarray) -> np.ndarray:
+    return ~np.isfinite(v.astype(np.float32))
+
+
+def finished(metric: Metric, total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances from sums: products of components (euclidean: squared differences), and the squared lengths of both sides."""
     with np.errstate(all="ignore"):
-        dot = q @ x.T
-        a, b = (q * q).sum(axis=1)[:, None], (x * x).sum(axis=1)[None, :]
-        odd = lambda v: ~np.isfinite(v.astype(np.float32))
         if metric is Metric.COSINE:
             product = a * b
-            near = 1 - np.clip(dot / np.sqrt(product), -1, 1)
-            return np.where(odd(dot) | odd(a) | odd(b), 2.0, np.where(product == 0, 1.0, near))
-        if metric is Metric.DOT:
-            return np.where(odd(dot), FARTHEST, -dot)
-        out = np.empty_like(dot)
+            near = 1 - np.clip(total / np.sqrt(product), -1, 1)
+            return np.where(_odd_numbers(total) | _odd_numbers(a) | _odd_numbers(b), 2.0, np.where(product == 0, 1.0, near))
+        return np.where(_odd_numbers(total), FARTHEST, -total if metric is Metric.DOT else np.sqrt(total))
+
+
+def distances(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The same for matrices: a row a query, a column a vector."""
+    with np.errstate(all="ignore"):
+        if metric is not Metric.EUCLIDEAN:
+            return finished(metric, q @ x.T, (q * q).sum(axis=1)[:, None], (x * x).sum(axis=1)[None, :])
+        out = np.empty((len(q), len(x)))
         for i, row in enumerate(q):  # differences, not |a|^2 + |b|^2 - 2ab, which loses digits
             out[i] = ((x - row) ** 2).sum(axis=1)
-        return np.where(odd(out), FARTHEST, np.sqrt(out))
+        return finished(metric, out, out, out)
+
+
+def sums(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The inner products of pairs of rows, summed in the order of the components: the same wherever a pair stands."""
+    out = np.zeros(len(q))
+    with np.errstate(all="ignore"):
+        for i in range(q.shape[1]):
+            out += q[:, i] * x[:, i]
+    return out
+
+
+def pair_distances(metric: Metric, q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for pairs of rows, whose squared lengths are a and b."""
+    with np.errstate(all="ignore"):
+        return finished(metric, sums(q - x, q - x) if metric is Metric.EUCLIDEAN else sums(q, x), a, b)
